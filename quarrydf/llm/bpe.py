@@ -8,6 +8,7 @@ as back-pointers, and following them from the end gives the ids that the merge p
 
 from __future__ import annotations
 
+import hashlib
 import json
 from array import array
 
@@ -47,7 +48,7 @@ class PrefixBpe:
         if any(c.isspace() for x in self.added for c in x):
             raise ValueError("added tokens must not hold white space")
         vocab = model["vocab"]
-        self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
+        self.tokens = _token_texts(spec)
         self._length: dict[int, int] = {}
         self._parts: dict[int, tuple[int, int, int]] = {}
         self._merge: dict[tuple[int, int], tuple[int, int]] = {}
@@ -172,27 +173,31 @@ class PrefixBpe:
         return " ".join([known[i] for i in ids if i in known])
 
 
-_loaded: dict[int, PrefixBpe] = {}
+#: By digest of the file: one tokenizer, and one table of token texts, for each worker.
+_loaded: dict[str, PrefixBpe] = {}
+_texts: dict[str, dict[int, str]] = {}
 
 
-def _tokenizer(spec) -> PrefixBpe:
-    """One tokenizer for each worker and broadcast."""
-    if spec.id not in _loaded:
-        _loaded.clear()
-        _loaded[spec.id] = PrefixBpe(spec.value)
-    return _loaded[spec.id]
+def _once(kept: dict, key: str, make):
+    if key not in kept:
+        kept.clear()
+        kept[key] = make()
+    return kept[key]
 
 
-_vocabularies: dict[int, dict[int, str]] = {}
+def _token_texts(spec: str) -> dict[int, str]:
+    parsed = json.loads(spec)
+    return {i: t for t, i in parsed["model"]["vocab"].items()} | {x["id"]: x["content"] for x in parsed["added_tokens"]}
 
 
 def _broadcast(df: DataFrame, path: str, max_bytes: int):
+    """(broadcast file, its digest, the file)."""
     common.ship(df.sparkSession)
     with open(path, encoding="utf-8") as f:
         spec = f.read()
     if len(spec) > max_bytes:
         raise ValueError(f"{path} has {len(spec)} characters; at most {max_bytes} are broadcast")
-    return df.sparkSession.sparkContext.broadcast(spec), spec
+    return df.sparkSession.sparkContext.broadcast(spec), hashlib.sha256(spec.encode()).hexdigest(), spec
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", max_bytes: int = 64 << 20) -> DataFrame:
@@ -202,10 +207,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", max_b
     shuffle; whole texts of any length. Null and empty texts give an empty array; a column named ``ids`` is replaced.
     White space is dropped by the file's pre-tokenizer, which the file must have if it is to match its library.
     """
-    spec, _ = _broadcast(df, path, max_bytes)
+    spec, key, _ = _broadcast(df, path, max_bytes)
 
     def run(texts: pa.Array) -> pa.Array:
-        tokenizer, out, ends = _tokenizer(spec), array("i"), [0]
+        tokenizer, out, ends = _once(_loaded, key, lambda: PrefixBpe(spec.value)), array("i"), [0]
         for text in texts:
             tokenizer.encode_into(text.as_py() or "", out)
             ends.append(len(out))
@@ -219,16 +224,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ma
 
     Null arrays give an empty text; null or unknown ids are passed over, as the library does. A column named ``text`` is replaced.
     """
-    spec, raw = _broadcast(df, path, max_bytes)
+    spec, key, raw = _broadcast(df, path, max_bytes)
     if json.loads(raw)["decoder"] is not None:
         raise ValueError(f"{path} has a decoder of its own")
 
     def run(rows: pa.Array) -> pa.Array:
-        if spec.id not in _vocabularies:
-            parsed = json.loads(spec.value)
-            _vocabularies.clear()
-            _vocabularies[spec.id] = {i: t for t, i in parsed["model"]["vocab"].items()} | {x["id"]: x["content"] for x in parsed["added_tokens"]}
-        known = _vocabularies[spec.id]
+        known = _once(_texts, key, lambda: _token_texts(spec.value))
         return pa.array([" ".join([known[i] for i in row.values.to_numpy(zero_copy_only=False).tolist() if i in known]) if row.is_valid and len(row.values) else "" for row in rows], pa.string())
 
     return df.withColumn(text, F.arrow_udf(run, "string")(F.col(f"`{ids}`").cast("array<int>")))
