@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,50 @@ from quarrydf.llm import common
 #: Stands for the end-of-word suffix inside the automaton; a private-use character that byte-level text never holds.
 _END = "\ue000"
 _NEVER = 1 << 60
-#: Entries of a worker's caches, and the longest text that they keep: their memory is bounded.
-CACHE, CACHED_CHARS = 150_000, 64
+#: Entries of each half of a worker's caches, and the longest text that they keep: their memory is bounded.
+CACHE, CACHED_CHARS = 150_000, 48
+
+#: Texts of these characters alone need no library to clean and cut them: no character composes with its neighbour, each
+#: has one lower-case form, and letters, digits and the rest are told apart by the pattern below.
+_PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\u00c0-\u00ff\u0152\u0153\u2013\u2014\u2018\u2019\u201c\u201d\u2026\u20ac\u00ab\u00bb\u00bf\u00a1]*")
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff\u0153"
+_PLAIN_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+")
+#: The cleaning and cutting that this shortcut stands for; other files go through the library.
+_PLAIN_FOR = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: visible Latin-1 as it is, the rest from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class _Halves:
+    """A bounded cache of two halves: when the young half is full it becomes the old one, and what is still used moves back."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
 
 
 class PrefixBpe:
@@ -48,7 +90,6 @@ class PrefixBpe:
         if any(c.isspace() for x in self.added for c in x):
             raise ValueError("added tokens must not hold white space")
         vocab = model["vocab"]
-        self.tokens = _token_texts(spec)
         self._length: dict[int, int] = {}
         self._parts: dict[int, tuple[int, int, int]] = {}
         self._merge: dict[tuple[int, int], tuple[int, int]] = {}
@@ -57,8 +98,12 @@ class PrefixBpe:
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
             self._merge[left, right] = (rank, whole)
             self._parts.setdefault(whole, (left, right, rank))
-        self._apart: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, tuple[int, ...]] = {}
+        #: For each token, whether it is compatible with tokens after it, as far as asked.
+        self._apart: dict[int, dict[int, bool]] = {i: {} for i in vocab.values()}
+        self._asked = 0
+        self._chunks, self._pieces = _Halves(CACHE // 4), _Halves(CACHE)
+        self._letters = _byte_letters()
+        self._is_plain = (parsed["normalizer"], parsed["pre_tokenizer"]) == _PLAIN_FOR
         self._automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             text = token[: -len(self.suffix)] + _END if self.suffix and token.endswith(self.suffix) and token != self.suffix else token
@@ -102,11 +147,14 @@ class PrefixBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging the joined text of two tokens gives the two tokens again."""
-        known = self._apart.get((a, b))
+        known = self._apart[a].get(b)
         if known is None:
-            if len(self._apart) >= 4 * CACHE:
-                self._apart.clear()
-            known = self._apart[a, b] = self._crossing(a, b) == _NEVER
+            self._asked += 1
+            if self._asked > 2 * CACHE:
+                self._asked = 1
+                for x in self._apart.values():
+                    x.clear()
+            known = self._apart[a][b] = self._crossing(a, b) == _NEVER
         return known
 
     def piece(self, text: str) -> list[int]:
@@ -115,11 +163,20 @@ class PrefixBpe:
             text += _END
         n = len(text)
         last: list[int | None] = [None] * (n + 1)
+        apart, compatible = self._apart, self.compatible
         for end, (token, size) in self._automaton.iter(text):
-            if last[end + 1] is None:
-                start = end + 1 - size
-                if not start or ((before := last[start]) is not None and self.compatible(before, token)):
-                    last[end + 1] = token
+            end += 1
+            if last[end] is None:
+                if start := end - size:
+                    before = last[start]
+                    if before is None:
+                        continue
+                    fits = apart[before].get(token)
+                    if fits is None:
+                        fits = compatible(before, token)
+                    if not fits:
+                        continue
+                last[end] = token
         out, at = [], n
         while at:
             token = last[at]
@@ -148,34 +205,58 @@ class PrefixBpe:
             text = text[hit[0] + len(hit[2]) :]
         return out
 
-    def encode_into(self, text: str, out: array) -> None:
-        """Append the ids of ``text``. Space, tab and line ends always separate pieces, so what lies between is encoded once and kept."""
-        seen = self._pieces
+    def _plain_into(self, text: str, out: bytearray) -> None:
+        kept, found = self._pieces, {}
+        parts = _PLAIN_CUT.findall(text.lower())
+        for part in set(parts):
+            ids = kept.young.get(part) or kept.get(part)
+            if ids is None:
+                ids = np.array(self.piece(part.encode().decode("latin-1").translate(self._letters)), np.int32).tobytes()
+                if len(part) <= CACHED_CHARS:
+                    kept.put(part, ids)
+            found[part] = ids
+        out += b"".join(map(found.__getitem__, parts))
+
+    def encode_into(self, text: str, out: bytearray) -> None:
+        """Append the ids of ``text``, four bytes each. Space, tab and line ends always separate pieces, so what lies between
+        is encoded once and kept."""
+        if self._is_plain and _PLAIN.fullmatch(text) and not any(x in text for x in self.added):
+            return self._plain_into(text, out)
         for chunk in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
             if chunk:
-                ids = seen.get(chunk)
+                ids = self._chunks.get(chunk)
                 if ids is None:
-                    ids = tuple(self._chunk(chunk))
+                    ids = np.array(self._chunk(chunk), np.int32).tobytes()
                     if len(chunk) <= CACHED_CHARS:
-                        if len(seen) >= CACHE:
-                            seen.clear()
-                        seen[chunk] = ids
-                out.extend(ids)
+                        self._chunks.put(chunk, ids)
+                out += ids
 
     def encode(self, text: str) -> list[int]:
-        out = array("i")
+        out = bytearray()
         self.encode_into(text, out)
-        return list(out)
+        return np.frombuffer(out, np.int32).tolist()
 
-    def decode(self, ids) -> str:
-        """The tokens of the known ids, joined by spaces: what a tokenizer file without a decoder gives."""
-        known = self.tokens
-        return " ".join([known[i] for i in ids if i in known])
+
+class TokenTexts:
+    """The text of every token, for decoding by a file without a decoder."""
+
+    def __init__(self, spec: str):
+        texts = _token_texts(spec)
+        self.size = max(texts) + 1
+        self.known = np.zeros(self.size, bool)
+        self.texts = np.full(self.size, "", object)
+        for i, t in texts.items():
+            self.known[i], self.texts[i] = True, t
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The texts of the known ids, joined by spaces."""
+        ids = ids[(ids >= 0) & (ids < self.size)]
+        return " ".join(self.texts[ids[self.known[ids]]].tolist())
 
 
 #: By digest of the file: one tokenizer, and one table of token texts, for each worker.
 _loaded: dict[str, PrefixBpe] = {}
-_texts: dict[str, dict[int, str]] = {}
+_texts: dict[str, TokenTexts] = {}
 
 
 def _once(kept: dict, key: str, make):
@@ -210,11 +291,11 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", max_b
     spec, key, _ = _broadcast(df, path, max_bytes)
 
     def run(texts: pa.Array) -> pa.Array:
-        tokenizer, out, ends = _once(_loaded, key, lambda: PrefixBpe(spec.value)), array("i"), [0]
+        tokenizer, out, ends = _once(_loaded, key, lambda: PrefixBpe(spec.value)), bytearray(), [0]
         for text in texts:
             tokenizer.encode_into(text.as_py() or "", out)
-            ends.append(len(out))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(out, np.int32) if len(out) else [], pa.int32()))
+            ends.append(len(out) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(out, np.int32)))
 
     return df.withColumn(ids, F.arrow_udf(run, "array<int>")(common.text_of(text)))
 
@@ -229,8 +310,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ma
         raise ValueError(f"{path} has a decoder of its own")
 
     def run(rows: pa.Array) -> pa.Array:
-        known = _once(_texts, key, lambda: _token_texts(spec.value))
-        return pa.array([" ".join([known[i] for i in row.values.to_numpy(zero_copy_only=False).tolist() if i in known]) if row.is_valid and len(row.values) else "" for row in rows], pa.string())
+        table = _once(_texts, key, lambda: TokenTexts(spec.value))
+        ids = rows.values.fill_null(-1).to_numpy(zero_copy_only=False)
+        ends = rows.offsets.to_numpy()
+        return pa.array([table.decode(ids[a:b]) if ok else "" for a, b, ok in zip(ends, ends[1:], rows.is_valid().to_pylist())], pa.string())
 
     return df.withColumn(text, F.arrow_udf(run, "string")(F.col(f"`{ids}`").cast("array<int>")))
 
