@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarrydf.llm import bpe, langid, pii, urls
+from quarrydf.llm import bpe, langid, pii, simhash, urls
 
 
 def queries():
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op4_simhash": simhash.op4_simhash,
         "op5_pii": pii.op5_pii,
         "op9_language_id": langid.op9_language_id,
         "op10_url_filters": urls.op10_url_filters,
