@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarrydf.llm import bpe, langid, pii, simhash, urls
+from quarrydf.llm import bpe, langid, lines, pii, simhash, urls
 
 
 def queries():
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op3_line_dedup": lines.op3_line_dedup,
         "op4_simhash": simhash.op4_simhash,
         "op5_pii": pii.op5_pii,
         "op9_language_id": langid.op9_language_id,
@@ -16,4 +17,7 @@ def queries():
 
 
 def oracle_sql():
-    return {"op10_url_filters": urls.OP10_SQL}
+    return {
+        "op3_line_dedup": lines.OP3_SQL,
+        "op10_url_filters": urls.OP10_SQL,
+    }
