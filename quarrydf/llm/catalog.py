@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarrydf.llm import bpe, langid, lines, pii, simhash, urls
+from quarrydf.llm import bpe, langid, lines, mixing, pii, simhash, urls
 
 
 def queries():
     return {
         "op1_bpe": bpe.op1_bpe,
+        "op2_mixing": mixing.op2_mixing,
         "op3_line_dedup": lines.op3_line_dedup,
         "op4_simhash": simhash.op4_simhash,
         "op5_pii": pii.op5_pii,
