@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrydf.llm import bpe, langid, lines, mixing, pii, simhash, urls
+from quarrydf.llm import bpe, langid, lines, media, mixing, pii, simhash, urls
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_line_dedup": lines.op3_line_dedup,
         "op4_simhash": simhash.op4_simhash,
         "op5_pii": pii.op5_pii,
+        "op7_media": media.op7_media,
         "op9_language_id": langid.op9_language_id,
         "op10_url_filters": urls.op10_url_filters,
     }
