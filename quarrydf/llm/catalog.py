@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrydf.llm import bpe, langid, lines, media, mixing, pii, simhash, urls
+from quarrydf.llm import bpe, langid, lines, media, mixing, pii, simhash, toxicity, urls
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_simhash": simhash.op4_simhash,
         "op5_pii": pii.op5_pii,
         "op7_media": media.op7_media,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": langid.op9_language_id,
         "op10_url_filters": urls.op10_url_filters,
     }
