@@ -22,8 +22,11 @@ from quarrydf.llm import common
 #: Stands for the end-of-word suffix inside the automaton; a private-use character that byte-level text never holds.
 _END = "\ue000"
 _NEVER = 1 << 60
+_WIDTH = 1 << 16
 #: Entries of each half of a worker's caches, and the longest text that they keep: their memory is bounded.
 CACHE, CACHED_CHARS = 150_000, 48
+#: Texts that are held as Python objects at once.
+TEXTS = 512
 
 #: Texts of these characters alone need no library to clean and cut them: no character composes with its neighbour, each
 #: has one lower-case form, and letters, digits and the rest are told apart by the pattern below.
@@ -68,11 +71,51 @@ class _Halves:
         self.young[key] = value
 
 
+class _Automaton:
+    """All vocabulary tokens that end at a position: one step a character, from any state reached before."""
+
+    def __init__(self, tokens: list[tuple[str, tuple[int, int]]]):
+        # _WIDTH is over any character of the tokens, so a state and a character make one key
+        self.step: dict[int, int] = {}
+        ends: dict[int, tuple[int, int]] = {}
+        parents, states = [(0, 0)], 1
+        for text, found in tokens:
+            node = 0
+            for c in text:
+                key = node * _WIDTH + ord(c)
+                child = self.step.get(key)
+                if child is None:
+                    child = self.step[key] = states
+                    parents.append((node, ord(c)))
+                    states += 1
+                node = child
+            ends[node] = found
+        depth = [0] * states
+        for node in range(1, states):
+            depth[node] = depth[parents[node][0]] + 1
+        self.fail = [0] * states
+        #: By state, the tokens that end there, longest first.
+        self.hits: list[tuple[tuple[int, int], ...]] = [()] * states
+        for node in sorted(range(1, states), key=depth.__getitem__):
+            parent, c = parents[node]
+            if parent:
+                self.fail[node] = self.next(self.fail[parent], c)
+            own, rest = ends.get(node), self.hits[self.fail[node]]
+            self.hits[node] = (own, *rest) if own else rest
+
+    def next(self, state: int, c: int) -> int:
+        step = self.step
+        while (found := step.get(state * _WIDTH + c)) is None:
+            if not state:
+                return 0
+            state = self.fail[state]
+        return found
+
+
 class PrefixBpe:
     """A tokenizer file with a BPE model, encoding by the prefix table."""
 
     def __init__(self, spec: str):
-        import ahocorasick
         from tokenizers import Tokenizer
 
         parsed = json.loads(spec)
@@ -104,7 +147,7 @@ class PrefixBpe:
         self._chunks, self._pieces = _Halves(CACHE // 4), _Halves(CACHE)
         self._letters = _byte_letters()
         self._is_plain = (parsed["normalizer"], parsed["pre_tokenizer"]) == _PLAIN_FOR
-        self._automaton = ahocorasick.Automaton()
+        usable = []
         for token, i in vocab.items():
             text = token[: -len(self.suffix)] + _END if self.suffix and token.endswith(self.suffix) and token != self.suffix else token
             symbols = len(text) - text.endswith(_END)
@@ -115,8 +158,10 @@ class PrefixBpe:
             elif symbols != 1:
                 continue
             self._length[i] = len(text)
-            self._automaton.add_word(text, (i, len(text)))
-        self._automaton.make_automaton()
+            usable.append((text, (i, len(text))))
+        self._automaton = _Automaton(usable)
+        #: The prefix table of the piece encoded last: its text, and by prefix length the automaton's state and the last token.
+        self._prefix, self._states, self._last = "", [0], [None]
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge of ``token`` while it is built, each with the rank of the merge that ends it."""
@@ -158,32 +203,57 @@ class PrefixBpe:
         return known
 
     def piece(self, text: str) -> list[int]:
-        """The ids of one piece (no further cutting)."""
+        """The ids of one piece (no further cutting). What it has in common with the start of the piece before is not done again."""
+        states, last, length = self._states, self._last, self._length
+        n, before = len(text), self._prefix
+        same = 0
+        for x, y in zip(text, before):
+            if x != y:
+                break
+            same += 1
+        inner = n
         if self.suffix:
             text += _END
-        n = len(text)
-        last: list[int | None] = [None] * (n + 1)
-        apart, compatible = self._apart, self.compatible
-        for end, (token, size) in self._automaton.iter(text):
-            end += 1
-            if last[end] is None:
-                if start := end - size:
-                    before = last[start]
-                    if before is None:
-                        continue
-                    fits = apart[before].get(token)
-                    if fits is None:
-                        fits = compatible(before, token)
-                    if not fits:
-                        continue
-                last[end] = token
+            # the last character and the end mark are one symbol: no token ends between them
+            inner = n - 1
+            n += 1
+        same = min(same, inner, len(last) - 1)
+        del states[same + 1 :], last[same + 1 :]
+        self._prefix = text[:inner]
+        apart, automaton = self._apart, self._automaton
+        step, fail, hits = automaton.step, automaton.fail, automaton.hits
+        state = states[same]
+        for end in range(same + 1, n + 1):
+            c = ord(text[end - 1])
+            while (found := step.get(state * _WIDTH + c)) is None:
+                if not state:
+                    found = 0
+                    break
+                state = fail[state]
+            state, best = found, None
+            if end <= inner or end == n:
+                for token, size in hits[state]:
+                    if size != end:
+                        left = last[end - size]
+                        if left is None:
+                            continue
+                        fits = apart[left].get(token)
+                        if fits is None:
+                            fits = self.compatible(left, token)
+                        if not fits:
+                            continue
+                    best = token
+                    break
+            states.append(state)
+            last.append(best)
         out, at = [], n
         while at:
             token = last[at]
             if token is None:
                 raise ValueError(f"the vocabulary has no encoding of {text!r}")
             out.append(token)
-            at -= self._length[token]
+            at -= length[token]
+        del states[inner + 1 :], last[inner + 1 :]
         return out[::-1]
 
     def _plain(self, text: str) -> list[int]:
@@ -205,23 +275,23 @@ class PrefixBpe:
             text = text[hit[0] + len(hit[2]) :]
         return out
 
-    def _plain_into(self, text: str, out: bytearray) -> None:
-        kept, found = self._pieces, {}
-        parts = _PLAIN_CUT.findall(text.lower())
-        for part in set(parts):
+    def _fill(self, parts: set[str], found: dict[str, bytes]) -> None:
+        """Put the ids of plain parts into ``found``; those that are not kept are encoded in order, neighbours sharing their start."""
+        kept, new = self._pieces, []
+        for part in parts:
             ids = kept.young.get(part) or kept.get(part)
             if ids is None:
-                ids = np.array(self.piece(part.encode().decode("latin-1").translate(self._letters)), np.int32).tobytes()
-                if len(part) <= CACHED_CHARS:
-                    kept.put(part, ids)
-            found[part] = ids
-        out += b"".join(map(found.__getitem__, parts))
-
-    def encode_into(self, text: str, out: bytearray) -> None:
-        """Append the ids of ``text``, four bytes each. Space, tab and line ends always separate pieces, so what lies between
-        is encoded once and kept."""
-        if self._is_plain and _PLAIN.fullmatch(text) and not any(x in text for x in self.added):
-            return self._plain_into(text, out)
+                new.append(part)
+            else:
+                found[part] = ids
+        new.sort()
+        for part in new:
+            ids = found[part] = np.array(self.piece(part if part.isascii() else part.encode().decode("latin-1").translate(self._letters)), np.int32).tobytes()
+            if len(part) <= CACHED_CHARS:
+                kept.put(part, ids)
+
+    def _chunks_into(self, text: str, out: bytearray) -> None:
+        """Space, tab and line ends always separate pieces, so what lies between is encoded once and kept."""
         for chunk in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
             if chunk:
                 ids = self._chunks.get(chunk)
@@ -231,9 +301,21 @@ class PrefixBpe:
                         self._chunks.put(chunk, ids)
                 out += ids
 
+    def encode_all(self, texts: list[str], out: bytearray, ends: list[int]) -> None:
+        """Append the ids of some texts, four bytes each, and after each the number of ids so far."""
+        cut = [_PLAIN_CUT.findall(t.lower()) if self._is_plain and _PLAIN.fullmatch(t) and not any(x in t for x in self.added) else None for t in texts]
+        found: dict[str, bytes] = {}
+        self._fill(set().union(*[parts for parts in cut if parts]), found)
+        for text, parts in zip(texts, cut):
+            if parts is None:
+                self._chunks_into(text, out)
+            else:
+                out += b"".join(map(found.__getitem__, parts))
+            ends.append(len(out) // 4)
+
     def encode(self, text: str) -> list[int]:
         out = bytearray()
-        self.encode_into(text, out)
+        self.encode_all([text], out, [])
         return np.frombuffer(out, np.int32).tolist()
 
 
@@ -292,9 +374,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", max_b
 
     def run(texts: pa.Array) -> pa.Array:
         tokenizer, out, ends = _once(_loaded, key, lambda: PrefixBpe(spec.value)), bytearray(), [0]
-        for text in texts:
-            tokenizer.encode_into(text.as_py() or "", out)
-            ends.append(len(out) // 4)
+        for at in range(0, len(texts), TEXTS):
+            tokenizer.encode_all([t or "" for t in texts.slice(at, TEXTS).to_pylist()], out, ends)
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(out, np.int32)))
 
     return df.withColumn(ids, F.arrow_udf(run, "array<int>")(common.text_of(text)))
@@ -313,7 +394,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ma
         table = _once(_texts, key, lambda: TokenTexts(spec.value))
         ids = rows.values.fill_null(-1).to_numpy(zero_copy_only=False)
         ends = rows.offsets.to_numpy()
-        return pa.array([table.decode(ids[a:b]) if ok else "" for a, b, ok in zip(ends, ends[1:], rows.is_valid().to_pylist())], pa.string())
+        done = [pa.array([table.decode(ids[a:b]) for a, b in zip(ends[at : at + TEXTS], ends[at + 1 : at + TEXTS + 1])], pa.string()) for at in range(0, len(rows), TEXTS)]
+        return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
     return df.withColumn(text, F.arrow_udf(run, "string")(F.col(f"`{ids}`").cast("array<int>")))
 
