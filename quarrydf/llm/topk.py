@@ -123,14 +123,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` rows of ``vectors`` with the highest inner product with each query.
 
     Both tables have ``vec_id`` (long) and ``v`` (array of long); null vectors take no part. Exact; all rows if there are fewer
-    than ``k``; ties to the smaller id; rows of the query's own id are left out; repeated rows count each. Vectors are compared with
+    than ``k``; ties to the smaller id; rows of the query's own id are left out; of repeated
+    queries the one with the smallest vector is asked, repeated candidates count each. Vectors are compared with
     those of their own length. Every shard meets every block of queries once, in some task; memory is bounded by one
     shard and one block, and nothing is collected.
     """
     spark = vectors.sparkSession
     common.ship(spark)
     rows = vectors.filter("v IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "v", F.size("v").alias("dim"))
-    asked = queries.filter("v IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "v", F.size("v").alias("dim"))
+    asked = queries.filter("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", F.size("v").alias("dim"))
     n, m = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
     spans = -(-shards // SHARDS)
