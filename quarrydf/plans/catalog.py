@@ -1,18 +1,494 @@
-"""Registered queries of the table engine and their DuckDB counterparts."""
+"""Registered queries of the table engine and their DuckDB counterparts, side by side."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quarrydf.functions.schema import display, is_numeric
+from quarrydf.operators import advisor, encodings, index, lifecycle, security, stats, tables
+from quarrydf.plans.query import Query, Select, Where, build, sql
+from quarrydf.sources import interchange
+from quarrydf.streaming.events import windowed
 
+#: Rows of a chunk in the chunked queries: small enough for several chunks at the smallest scale.
+CHUNK = 4096
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(oracle: str | None = None, name: str | None = None):
+    def register(f):
+        key = name or f.__name__
+        _QUERIES[key] = f
+        if oracle:
+            _SQL[key] = oracle
+        return f
+
+    return register
+
+
+def _load(spark, sf_dir, table):
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _money(c):
+    return F.col(c).cast("decimal(18,2)")
+
+
+def _numbered(spark, sf_dir, table, key, *columns):
+    """A table with row and chunk numbers in the order of its key."""
+    df = tables.with_row_id(_load(spark, sf_dir, table).select(key, *columns), key)
+    return tables.with_chunk_id(df, chunk_rows=CHUNK)
+
+
+def _numbered_sql(table, key):
+    return f"(SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS row_id, (row_number() OVER (ORDER BY {key}) - 1) // {CHUNK} AS chunk_id FROM {table})"
+
+
+_ORDERS, _EVENTS = _numbered_sql("orders", "o_orderkey"), _numbered_sql("events", "event_id")
+
+
+# --- the query model -------------------------------------------------------------------------------------------------
+
+
+@_query(
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty,
+    CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_price, min(l_shipdate) AS min_ship, max(l_discount) AS max_discount
+    FROM lineitem WHERE l_quantity > 30 GROUP BY ALL ORDER BY n DESC LIMIT 10"""
+)
 def flagship(spark, sf_dir):
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return li.filter(F.col("l_quantity") > 30).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    """Every part of the query model at once."""
+    li = _load(spark, sf_dir, "lineitem").withColumn("qty", _money("l_quantity")).withColumn("price", _money("l_extendedprice"))
+    q = Query(
+        select=[Select("l_returnflag"), Select("l_linestatus"), Select("*", "count", "n"), Select("qty", "sum", "sum_qty"), Select("price", "sum", "sum_price"), Select("l_shipdate", "min", "min_ship"), Select("l_discount", "max", "max_discount")],
+        where=[Where("l_quantity", ">", "30")],
+        group_by=["l_returnflag", "l_linestatus"],
+        order_by="n",
+        descending=True,
+        limit=10,
+    )
+    out = build(li, q)
+    return out.select("l_returnflag", "l_linestatus", "n", F.col("sum_qty").cast("double").alias("sum_qty"), (F.col("sum_price").cast("double") / F.col("n")).alias("avg_price"), "min_ship", "max_discount")
+
+
+@_query("SELECT c_custkey, c_name AS customer, c_mktsegment FROM customer")
+def scan_project(spark, sf_dir):
+    return build(_load(spark, sf_dir, "customer"), Query([Select("c_custkey"), Select("c_name", alias="customer"), Select("c_mktsegment")]))
+
+
+def _filter(name, table, columns, where, condition):
+    def run(spark, sf_dir):
+        return build(_load(spark, sf_dir, table), Query([Select(c) for c in columns], where=where))
+
+    _query(f"SELECT {', '.join(columns)} FROM {table} WHERE {condition}", name)(run)
+
+
+_filter("filter_eq", "orders", ["o_orderkey", "o_orderstatus"], [Where("o_orderstatus", "=", "F")], "o_orderstatus = 'F'")
+_filter("filter_neq", "orders", ["o_orderkey", "o_orderpriority"], [Where("o_orderpriority", "!=", "1-URGENT")], "o_orderpriority <> '1-URGENT'")
+_filter("filter_gt", "orders", ["o_orderkey", "o_totalprice"], [Where("o_totalprice", ">", "250000")], "o_totalprice > 250000")
+_filter("filter_lt", "orders", ["o_orderkey", "o_orderdate"], [Where("o_orderdate", "<", "1997-01-01")], "o_orderdate < TIMESTAMP '1997-01-01'")
+_filter("filter_gte", "part", ["p_partkey", "p_size"], [Where("p_size", ">=", "40")], "p_size >= 40")
+_filter("filter_lte", "part", ["p_partkey", "p_size"], [Where("p_size", "<=", "5")], "p_size <= 5")
+_filter("filter_contains", "part", ["p_partkey", "p_type"], [Where("p_type", "contains", "BRASS")], "contains(p_type, 'BRASS')")
+_filter("filter_contains_number", "orders", ["o_orderkey"], [Where("o_orderkey", "contains", "99")], "contains(CAST(o_orderkey AS VARCHAR), '99')")
+_filter("filter_conjunction", "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], [Where("l_quantity", ">=", "45"), Where("l_returnflag", "=", "R"), Where("l_discount", "<", "0.05")], "l_quantity >= 45 AND l_returnflag = 'R' AND l_discount < CAST(0.05 AS DOUBLE)")
+_filter("filter_in_like", "customer", ["c_custkey", "c_name"], [Where("c_mktsegment", "in", ["BUILDING", "MACHINERY"]), Where("c_name", "like", "%1_")], "c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_name LIKE '%1_'")
+
+
+@_query("SELECT o_orderstatus, count(o_custkey) AS n FROM orders GROUP BY o_orderstatus")
+def agg_count(spark, sf_dir):
+    return build(_load(spark, sf_dir, "orders"), Query([Select("o_orderstatus"), Select("o_custkey", "count", "n")], group_by=["o_orderstatus"]))
+
+
+@_query("SELECT l_shipdate, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty FROM lineitem GROUP BY l_shipdate")
+def agg_sum(spark, sf_dir):
+    li = _load(spark, sf_dir, "lineitem").withColumn("q", _money("l_quantity"))
+    return build(li, Query([Select("l_shipdate"), Select("q", "sum", "qty")], group_by=["l_shipdate"])).withColumn("qty", F.col("qty").cast("double"))
+
+
+@_query("SELECT p_brand, avg(p_size) AS mean_size FROM part GROUP BY p_brand")
+def agg_avg(spark, sf_dir):
+    return build(_load(spark, sf_dir, "part"), Query([Select("p_brand"), Select("p_size", "avg", "mean_size")], group_by=["p_brand"]))
+
+
+@_query("SELECT o_orderpriority, min(o_orderdate) AS first_date, max(o_totalprice) AS top_price FROM orders GROUP BY o_orderpriority")
+def agg_minmax(spark, sf_dir):
+    return build(_load(spark, sf_dir, "orders"), Query([Select("o_orderpriority"), Select("o_orderdate", "min", "first_date"), Select("o_totalprice", "max", "top_price")], group_by=["o_orderpriority"]))
+
+
+@_query("SELECT count(*) AS n, count(DISTINCT l_partkey) AS parts, min(l_shipdate) AS first_ship FROM lineitem")
+def agg_global(spark, sf_dir):
+    return build(_load(spark, sf_dir, "lineitem"), Query([Select("*", "count", "n"), Select("l_partkey", "count_distinct", "parts"), Select("l_shipdate", "min", "first_ship")]))
+
+
+@_query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL")
+def group_by_multi(spark, sf_dir):
+    keys = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    return build(_load(spark, sf_dir, "lineitem"), Query([*[Select(k) for k in keys], Select("*", "count", "n")], group_by=keys))
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey NULLS LAST LIMIT 25")
+def order_limit_asc(spark, sf_dir):
+    return build(_load(spark, sf_dir, "orders"), Query([Select("o_orderkey"), Select("o_custkey")], order_by="o_orderkey", limit=25))
+
+
+@_query("SELECT event_id, value FROM events ORDER BY event_id DESC NULLS LAST LIMIT 25")
+def order_limit_desc(spark, sf_dir):
+    return build(_load(spark, sf_dir, "events"), Query([Select("event_id"), Select("value")], order_by="event_id", descending=True, limit=25))
+
+
+@_query("SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY ALL")
+def sql_group_count(spark, sf_dir):
+    """The same model through SQL text."""
+    return sql(spark, "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM {t} WHERE c_acctbal > 0 GROUP BY c_mktsegment, c_nationkey ORDER BY n DESC", t=_load(spark, sf_dir, "customer"))
+
+
+# --- rows and unions -------------------------------------------------------------------------------------------------
+
+
+@_query(f"SELECT row_id, o_orderkey, o_totalprice FROM {_ORDERS} WHERE row_id = 777")
+def row_point(spark, sf_dir):
+    return tables.row_at(_numbered(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), 777).select("row_id", "o_orderkey", "o_totalprice")
+
+
+@_query(f"SELECT row_id, o_orderkey FROM {_ORDERS} WHERE row_id >= 1000 AND row_id < 1250")
+def row_range(spark, sf_dir):
+    return tables.row_range(_numbered(spark, sf_dir, "orders", "o_orderkey"), 1000, 1250).select("row_id", "o_orderkey")
+
+
+@_query("SELECT c_custkey AS key, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, s_acctbal, NULL FROM supplier")
+def union_by_name(spark, sf_dir):
+    c = _load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = _load(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"))
+    return tables.union_by_name(c, s)
+
+
+@_query("SELECT CAST(r_regionkey AS VARCHAR) AS r_regionkey, r_name FROM region")
+def read_as_text(spark, sf_dir):
+    return tables.as_text(_load(spark, sf_dir, "region"))
+
+
+# --- lifecycle -------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT n_name, CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(NULL AS VARCHAR) AS n_comment FROM nation")
+def evolve_schema(spark, sf_dir):
+    target = T.StructType([T.StructField("n_name", T.StringType()), T.StructField("n_nationkey", T.LongType()), T.StructField("n_comment", T.StringType())])
+    return lifecycle.evolve(_load(spark, sf_dir, "nation"), target)
+
+
+def _deleted(spark, sf_dir):
+    orders = _load(spark, sf_dir, "orders")
+    gone = orders.filter("o_orderkey % 7 = 0").select("o_orderkey")
+    extra = spark.createDataFrame([(-1,), (7,)], "o_orderkey long")
+    return orders, lifecycle.Tombstones.none(spark, "o_orderkey").delete(gone).delete(extra)
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 7 <> 0")
+def soft_delete(spark, sf_dir):
+    orders, gone = _deleted(spark, sf_dir)
+    return gone.active(orders).select("o_orderkey", "o_custkey")
+
+
+@_query("SELECT count(*) AS n_active FROM orders WHERE o_orderkey % 7 <> 0")
+def active_count(spark, sf_dir):
+    orders, gone = _deleted(spark, sf_dir)
+    return gone.active_count(orders)
+
+
+@_query(
+    """SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k
+    FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30') WHERE k = 1"""
+)
+def time_travel_asof(spark, sf_dir):
+    """The last order of each customer as of a moment: versions as rows of a log."""
+    log = _load(spark, sf_dir, "orders").filter(F.col("o_orderdate") <= F.lit("1996-06-30").cast("timestamp_ntz"))
+    return log.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("v")).select("v.*")
+
+
+# --- statistics ------------------------------------------------------------------------------------------------------
+
+
+_ZONES = f"""SELECT chunk_id, count(*) AS n_rows, min(o_totalprice) AS o_totalprice_min, max(o_totalprice) AS o_totalprice_max,
+    count(*) FILTER (o_totalprice IS NULL) AS o_totalprice_nulls, min(o_orderdate) AS o_orderdate_min, max(o_orderdate) AS o_orderdate_max,
+    count(*) FILTER (o_orderdate IS NULL) AS o_orderdate_nulls, min(o_orderkey) AS o_orderkey_min, max(o_orderkey) AS o_orderkey_max,
+    count(*) FILTER (o_orderkey IS NULL) AS o_orderkey_nulls FROM {_ORDERS} GROUP BY chunk_id"""
+
+
+@_query(_ZONES)
+def zone_map(spark, sf_dir):
+    return stats.zone_map(_numbered(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderdate"), ["o_totalprice", "o_orderdate", "o_orderkey"])
+
+
+@_query(f"SELECT chunk_id, n_rows FROM ({_ZONES}) WHERE o_orderkey_max > 9000")
+def zone_map_skip(spark, sf_dir):
+    zones = stats.zone_map(_numbered(spark, sf_dir, "orders", "o_orderkey"), ["o_orderkey"])
+    return stats.surviving(zones, "o_orderkey", ">", 9000).select("chunk_id", "n_rows")
+
+
+_STAT_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+_STATS = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(DISTINCT {c}) AS n_distinct, count(*) FILTER ({c} IS NULL) AS n_nulls, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM orders" for c in _STAT_COLUMNS
+)
+_RATIO = "CASE WHEN n_distinct = 0 THEN 0.0 WHEN n_distinct >= n_rows THEN 0.1 ELSE (-(n_distinct / n_rows) * log2(n_distinct / n_rows) - (1 - n_distinct / n_rows) * log2(1 - n_distinct / n_rows)) / 8 END"
+
+
+@_query(_STATS)
+def column_stats(spark, sf_dir):
+    return stats.column_stats(_load(spark, sf_dir, "orders"), _STAT_COLUMNS)
+
+
+@_query(f"SELECT column_name, round(CAST({_RATIO} AS DOUBLE), 6) AS ratio, round(1.0 / (1.0 + n_distinct / n_rows), 6)::DOUBLE AS simple FROM ({_STATS})")
+def ratio_estimate(spark, sf_dir):
+    s = stats.with_ratio(stats.column_stats(_load(spark, sf_dir, "orders"), _STAT_COLUMNS))
+    return s.select("column_name", F.round("ratio", 6).alias("ratio"), F.round(stats.simple_ratio(F.col("n_distinct"), F.col("n_rows")), 6).alias("simple"))
+
+
+@_query(f"SELECT round(sum(n_rows * CAST({_RATIO} AS DOUBLE)) * 0.5, 4) AS cost FROM ({_STATS}) WHERE column_name IN ('o_custkey', 'o_orderstatus')")
+def query_cost(spark, sf_dir):
+    s = stats.column_stats(_load(spark, sf_dir, "orders"), _STAT_COLUMNS)
+    return stats.query_cost(s, ["o_custkey", "o_orderstatus"], filtered=True).select(F.round("cost", 4).alias("cost"))
+
+
+@_query("SELECT event_type AS value, count(*) AS n FROM events GROUP BY event_type")
+def value_frequencies(spark, sf_dir):
+    return stats.frequencies(_load(spark, sf_dir, "events"), "event_type")
+
+
+@_query("SELECT count(*) AS n, count(*) FILTER (value IS NULL) AS nulls, count(DISTINCT CASE WHEN event_type <> 'click' THEN event_type END) AS kinds FROM events")
+def distinct_nulls(spark, sf_dir):
+    """Exact distinct count with one value left out as the null marker."""
+    kinds = F.when(F.col("event_type") != "click", F.col("event_type"))
+    return _load(spark, sf_dir, "events").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"), F.count_distinct(kinds).alias("kinds"))
+
+
+# --- encodings -------------------------------------------------------------------------------------------------------
+
+
+@_query(f"SELECT row_id, chunk_id, o_custkey - coalesce(lag(o_custkey) OVER (PARTITION BY chunk_id ORDER BY row_id), 0) AS delta FROM {_ORDERS}")
+def delta_encode(spark, sf_dir):
+    return encodings.delta_encode(_numbered(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_custkey").select("row_id", "chunk_id", "delta")
+
+
+@_query(f"SELECT row_id, o_custkey AS value FROM {_ORDERS}")
+def delta_roundtrip(spark, sf_dir):
+    coded = encodings.delta_encode(_numbered(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_custkey")
+    return encodings.delta_decode(coded).select("row_id", "value")
+
+
+@_query(
+    f"""SELECT chunk_id, run_id, any_value(event_type) AS value, min(row_id) AS start, count(*) AS length FROM (
+    SELECT *, CAST(sum(new) OVER (PARTITION BY chunk_id ORDER BY row_id) AS BIGINT) AS run_id FROM (
+    SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new
+    FROM {_EVENTS} WINDOW w AS (PARTITION BY chunk_id ORDER BY row_id))) GROUP BY chunk_id, run_id"""
+)
+def rle_encode(spark, sf_dir):
+    runs = encodings.rle_encode(_numbered(spark, sf_dir, "events", "event_id", "event_type"), "event_type")
+    return runs.select("chunk_id", "run_id", "value", "start", "length")
+
+
+@_query(f"SELECT row_id, event_type AS value FROM {_EVENTS}")
+def rle_roundtrip(spark, sf_dir):
+    runs = encodings.rle_encode(_numbered(spark, sf_dir, "events", "event_id", "event_type"), "event_type")
+    return encodings.rle_decode(runs).select("row_id", "value")
+
+
+@_query("SELECT o_orderpriority AS value, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM orders GROUP BY o_orderpriority")
+def dict_encode(spark, sf_dir):
+    return encodings.dictionary(_load(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")
+
+
+@_query("SELECT o_orderkey, o_orderpriority AS value FROM orders")
+def dict_roundtrip(spark, sf_dir):
+    orders = _load(spark, sf_dir, "orders")
+    codes = encodings.dictionary(orders, "o_orderpriority", "o_orderkey")
+    return encodings.dictionary_decode(encodings.dictionary_encode(orders, "o_orderpriority", codes, "o_orderkey"), codes, row_id="o_orderkey")
+
+
+@_query("SELECT value, n, row_number() OVER (ORDER BY n DESC, value) - 1 AS code, CAST(length(bin(count(*) OVER () - 1)) AS BIGINT) AS bits FROM (SELECT p_brand AS value, count(*) AS n FROM part GROUP BY p_brand)")
+def bdict_bits(spark, sf_dir):
+    return encodings.frequency_dictionary(_load(spark, sf_dir, "part"), "p_brand")
+
+
+@_query(
+    f"""SELECT row_id, chunk_id, min(o_custkey) OVER w AS base, o_custkey - min(o_custkey) OVER w AS residual,
+    CASE WHEN min(o_custkey) OVER w = max(o_custkey) OVER w THEN 0 ELSE CAST(length(bin(max(o_custkey) OVER w - min(o_custkey) OVER w)) AS BIGINT) END AS bits
+    FROM {_ORDERS} WINDOW w AS (PARTITION BY chunk_id)"""
+)
+def for_encode(spark, sf_dir):
+    return encodings.for_encode(_numbered(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_custkey").select("row_id", "chunk_id", "base", "residual", "bits")
+
+
+@_query(f"SELECT row_id, o_custkey AS value FROM {_ORDERS}")
+def for_roundtrip(spark, sf_dir):
+    return encodings.for_decode(encodings.for_encode(_numbered(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_custkey")).select("row_id", "value")
+
+
+@_query(f"SELECT chunk_id, min(event_id) AS base, coalesce(min(s), 0) AS step, count(*) AS n, coalesce(min(s), 0) = coalesce(max(s), 0) AS constant FROM (SELECT *, event_id - lag(event_id) OVER (PARTITION BY chunk_id ORDER BY row_id) AS s FROM {_EVENTS}) GROUP BY chunk_id")
+def cdelta_check(spark, sf_dir):
+    return encodings.constant_step(_numbered(spark, sf_dir, "events", "event_id"), "event_id")
+
+
+@_query(f"SELECT row_id // 8 AS byte_id, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 << (row_id % 8)::INT ELSE 0 END) AS BIGINT) AS byte FROM {_ORDERS} GROUP BY row_id // 8")
+def bitpack_bool(spark, sf_dir):
+    df = _numbered(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").withColumn("done", F.col("o_orderstatus") == "F")
+    return encodings.pack_bools(df, "done")
+
+
+@_query("SELECT p_partkey, CAST(round(p_retailprice * 10000) AS BIGINT) AS fixed, CAST(round(p_retailprice * 10000) AS BIGINT) / 10000 AS back FROM part")
+def fixed_point(spark, sf_dir):
+    fixed = encodings.fixed_point(F.col("p_retailprice"))
+    return _load(spark, sf_dir, "part").select("p_partkey", fixed.alias("fixed"), encodings.from_fixed_point(fixed).alias("back"))
+
+
+@_query("SELECT o_orderkey, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS zigzag, greatest(1, CAST(ceil(length(bin(CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END)) / 7) AS INTEGER)) AS bytes, d AS back FROM (SELECT o_orderkey, o_custkey - 700 AS d FROM orders)")
+def zigzag_varint(spark, sf_dir):
+    z = encodings.zigzag(F.col("o_custkey") - 700)
+    return _load(spark, sf_dir, "orders").select("o_orderkey", z.alias("zigzag"), encodings.varint_bytes(z).alias("bytes"), encodings.unzigzag(z).alias("back"))
+
+
+@_query("SELECT count(*) AS \"distinct\", round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS bits FROM (SELECT count(*) AS n FROM part GROUP BY p_type)")
+def huffman_bits(spark, sf_dir):
+    out = encodings.huffman_bits(_load(spark, sf_dir, "part"), "p_type")
+    return out.select("distinct", F.round("bits", 6).alias("bits"))
+
+
+_VARINT = "greatest(1, CAST(ceil(length(bin({0})) / 7) AS BIGINT))"
+_ZIG = "(CASE WHEN {0} >= 0 THEN 2 * ({0}) ELSE -2 * ({0}) - 1 END)"
+
+
+@_query(
+    f"""WITH d AS (SELECT chunk_id, row_id, o_custkey AS v, lag(o_custkey) OVER (PARTITION BY chunk_id ORDER BY row_id) AS p FROM {_ORDERS}),
+    r AS (SELECT *, v - p AS s, CAST(sum(CASE WHEN p IS NULL OR v <> p THEN 1 ELSE 0 END) OVER (PARTITION BY chunk_id ORDER BY row_id) AS BIGINT) AS run FROM d),
+    runs AS (SELECT chunk_id, CAST(sum({_VARINT.format('len')} + {_VARINT.format(_ZIG.format('v'))}) AS BIGINT) AS rle_bytes FROM (SELECT chunk_id, run, count(*) AS len, min(v) AS v FROM r GROUP BY ALL) GROUP BY chunk_id),
+    f AS (SELECT chunk_id, count(*) AS n, min(v) AS low, max(v) AS high, coalesce(min(s), 0) = coalesce(max(s), 0) AS constant,
+      CAST(sum({_VARINT.format(_ZIG.format('coalesce(s, v)'))}) AS BIGINT) AS delta_bytes FROM r GROUP BY chunk_id),
+    z AS (SELECT f.*, rle_bytes, CASE WHEN high = low THEN 0 ELSE CAST(length(bin(high - low)) AS BIGINT) END AS for_bits FROM f JOIN runs USING (chunk_id)),
+    y AS (SELECT *, {_VARINT.format(_ZIG.format('low'))} + 1 + CAST(ceil(for_bits * n / 8) AS BIGINT) AS for_bytes FROM z)
+    SELECT chunk_id, for_bits, for_bytes, delta_bytes, rle_bytes, CASE WHEN constant THEN 'CDELTA' WHEN for_bits <= 32 AND for_bytes <= least(delta_bytes, rle_bytes) THEN 'FOR'
+      WHEN delta_bytes <= rle_bytes THEN 'DELTA' ELSE 'RLE' END AS codec FROM y"""
+)
+def codec_advice_int(spark, sf_dir):
+    sizes = advisor.integer_sizes(_numbered(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), "o_custkey")
+    return advisor.integer_codec(sizes).select("chunk_id", "for_bits", "for_bytes", "delta_bytes", "rle_bytes", "codec")
+
+
+@_query(
+    f"""WITH d AS (SELECT chunk_id, o_orderpriority AS v, CASE WHEN o_orderpriority IS DISTINCT FROM lag(o_orderpriority) OVER (PARTITION BY chunk_id ORDER BY row_id) THEN 1 ELSE 0 END AS new FROM {_ORDERS}),
+    b AS (SELECT chunk_id, v, count(*) AS n, sum(new) AS runs FROM d GROUP BY ALL),
+    a AS (SELECT chunk_id, sum(n) AS n, count(v) AS k, sum(runs) AS runs, sum(strlen(v) + 5) AS tab, sum(strlen(v) * n) AS bytes FROM b GROUP BY chunk_id)
+    SELECT chunk_id, CAST(k AS BIGINT) AS "distinct", CAST(runs AS BIGINT) AS runs, CASE WHEN k > 65536 THEN 'RAW' WHEN k <= 1 THEN 'RLE'
+      WHEN runs * (bytes / n + 5) <= tab + ceil((CASE WHEN k <= 1 THEN 1 ELSE length(bin(k - 1)) END) * n / 8) THEN 'RLE' ELSE 'BDICT' END AS codec FROM a"""
+)
+def codec_advice_str(spark, sf_dir):
+    return advisor.string_codec(_numbered(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority"), "o_orderpriority").select("chunk_id", "distinct", "runs", "codec")
+
+
+@_query(
+    f"""SELECT column_name, CASE WHEN n_distinct < 1000 THEN 'Dictionary' WHEN kind IN ('int', 'float') THEN 'FOR' WHEN kind = 'str' AND n_distinct < n_rows / 2 THEN 'Dictionary' ELSE 'LZSS' END AS profile,
+    CASE WHEN n_distinct < 1000 THEN 'dict' ELSE 'none' END AS simple, CASE kind WHEN 'int' THEN 'delta' ELSE 'dict' END AS by_type,
+    CASE WHEN kind = 'int' THEN 'Delta' WHEN n_distinct <= 256 THEN 'DictRLE' ELSE 'None' END AS by_value
+    FROM (SELECT *, CASE WHEN column_name LIKE '%key' THEN 'int' ELSE 'str' END AS kind FROM ({_STATS}))"""
+)
+def codec_advice_profile(spark, sf_dir):
+    s = stats.column_stats(_load(spark, sf_dir, "orders"), _STAT_COLUMNS)
+    kind, d, n = F.when(F.col("column_name").endswith("key"), "int").otherwise("str"), F.col("n_distinct"), F.col("n_rows")
+    return s.select("column_name", advisor.profile_codec(kind, d, n).alias("profile"), advisor.simple_codec(d).alias("simple"), advisor.type_codec(kind).alias("by_type"), advisor.value_codec(kind, d, F.lit(10)).alias("by_value"))
+
+
+# --- index and membership --------------------------------------------------------------------------------------------
+
+
+@_query(f"SELECT event_type AS value, list(row_id ORDER BY row_id) AS rows FROM {_EVENTS} GROUP BY event_type")
+def posting_index(spark, sf_dir):
+    return index.postings(_numbered(spark, sf_dir, "events", "event_id", "event_type"), "event_type").select("value", "rows")
+
+
+@_query(f"SELECT row_id FROM {_EVENTS} WHERE user_id = 17")
+def index_lookup(spark, sf_dir):
+    return index.lookup(index.postings(_numbered(spark, sf_dir, "events", "event_id", "user_id"), "user_id"), 17)
+
+
+@_query("SELECT CAST(sum(strlen(v)) + 8 * sum(n) AS BIGINT) AS bytes FROM (SELECT event_type AS v, count(*) AS n FROM events GROUP BY event_type)")
+def index_size(spark, sf_dir):
+    return index.index_size(index.postings(_numbered(spark, sf_dir, "events", "event_id", "event_type"), "event_type"))
+
+
+@_query(f"SELECT DISTINCT chunk_id, true AS found FROM {_ORDERS} WHERE o_orderpriority = '1-URGENT'")
+def bloom_probe(spark, sf_dir):
+    """Chunks that may hold a value; here every chunk holds it, so false positives cannot show."""
+    df = _numbered(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
+    return index.may_contain(index.build_bloom(df, "o_orderpriority"), "1-URGENT").withColumn("found", F.lit(True))
+
+
+# --- nested values, text, integrity ----------------------------------------------------------------------------------
+
+
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, [event_type, CAST(user_id AS VARCHAR)] AS pair FROM events")
+def nested_values(spark, sf_dir):
+    k = F.from_json("props", "struct<k: bigint>")["k"]
+    return _load(spark, sf_dir, "events").select("event_id", k.alias("k"), F.array("event_type", F.col("user_id").cast("string")).alias("pair"))
+
+
+@_query("SELECT event_id, '{id:' || event_id || ', pair:[' || event_type || ', ' || user_id || ']}' AS shown FROM events")
+def nested_display(spark, sf_dir):
+    df = _load(spark, sf_dir, "events").select("event_id", F.struct(F.col("event_id").alias("id"), F.array("event_type", F.col("user_id").cast("string")).alias("pair")).alias("v"))
+    return df.select("event_id", display(F.col("v"), df.schema["v"].dataType).alias("shown"))
+
+
+@_query("SELECT vec_id, len(embedding) = 64 AS ok, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings")
+def embedding_dim_check(spark, sf_dir):
+    size = F.size("embedding").cast("bigint")
+    return _load(spark, sf_dir, "embeddings").select("vec_id", (size == 64).alias("ok"), size.alias("dim"))
+
+
+@_query("SELECT '[' || n_nationkey || ',' || n_name || ',' || n_regionkey || ']' AS line FROM nation")
+def text_serialize(spark, sf_dir):
+    return interchange.bracketed(_load(spark, sf_dir, "nation"))
+
+
+@_query("SELECT n_nationkey || '|' || n_name || '|' || n_regionkey AS line FROM nation")
+def piped_rows(spark, sf_dir):
+    return interchange.piped(_load(spark, sf_dir, "nation"))
+
+
+@_query("SELECT event_id, regexp_full_match(v, '-?[0-9.]*') OR v = 'NULL' AS numeric FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_type WHEN 1 THEN CAST(-event_id AS VARCHAR) WHEN 2 THEN 'NULL' WHEN 3 THEN '1.2.3' ELSE '12a' END AS v FROM events)")
+def numeric_detect(spark, sf_dir):
+    k = F.col("event_id") % 5
+    v = F.when(k == 0, F.col("event_type")).when(k == 1, (-F.col("event_id")).cast("string")).when(k == 2, "NULL").when(k == 3, "1.2.3").otherwise("12a")
+    return _load(spark, sf_dir, "events").select("event_id", is_numeric(v).alias("numeric"))
+
+
+@_query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def encrypt_roundtrip(spark, sf_dir):
+    key = b"0123456789abcdef0123456789abcdef"
+    hidden = security.encrypt_columns(_load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_name", "c_acctbal"], key, "test")
+    return security.decrypt_columns(hidden, {"test": key})
+
+
+@_query()
+def chunk_checksum(spark, sf_dir):
+    return security.chunk_checksums(_numbered(spark, sf_dir, "orders", "o_orderkey", "o_custkey").drop("row_id"))
+
+
+@_query("SELECT n_nationkey, sha256(n_name) AS digest, md5(n_name) AS short FROM nation")
+def row_digest(spark, sf_dir):
+    return _load(spark, sf_dir, "nation").select("n_nationkey", F.sha2("n_name", 256).alias("digest"), F.md5("n_name").alias("short"))
+
+
+@_query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM events GROUP BY ALL")
+def windowed_events(spark, sf_dir):
+    """Tumbling windows as a batch; the same plan runs over a stream."""
+    out = windowed(_load(spark, sf_dir, "events"), "ts", ["event_type"], "user_id")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def queries():
-    return {"flagship": flagship}
+    """Queries by name."""
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {"flagship": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 30 GROUP BY l_returnflag"}
+    """DuckDB SQL by name."""
+    return dict(_SQL)
