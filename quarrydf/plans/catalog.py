@@ -90,7 +90,7 @@ _filter("filter_gt", "orders", ["o_orderkey", "o_totalprice"], [Where("o_totalpr
 _filter("filter_lt", "orders", ["o_orderkey", "o_orderdate"], [Where("o_orderdate", "<", "1997-01-01")], "o_orderdate < TIMESTAMP '1997-01-01'")
 _filter("filter_gte", "part", ["p_partkey", "p_size"], [Where("p_size", ">=", "40")], "p_size >= 40")
 _filter("filter_lte", "part", ["p_partkey", "p_size"], [Where("p_size", "<=", "5")], "p_size <= 5")
-_filter("filter_contains", "part", ["p_partkey", "p_type"], [Where("p_type", "contains", "BRASS")], "contains(p_type, 'BRASS')")
+_filter("filter_contains", "part", ["p_partkey", "p_type"], [Where("p_type", "contains", "OM")], "contains(p_type, 'OM')")
 _filter("filter_contains_number", "orders", ["o_orderkey"], [Where("o_orderkey", "contains", "99")], "contains(CAST(o_orderkey AS VARCHAR), '99')")
 _filter("filter_conjunction", "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], [Where("l_quantity", ">=", "45"), Where("l_returnflag", "=", "R"), Where("l_discount", "<", "0.05")], "l_quantity >= 45 AND l_returnflag = 'R' AND l_discount < CAST(0.05 AS DOUBLE)")
 _filter("filter_in_like", "customer", ["c_custkey", "c_name"], [Where("c_mktsegment", "in", ["BUILDING", "MACHINERY"]), Where("c_name", "like", "%1_")], "c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_name LIKE '%1_'")
