@@ -400,17 +400,45 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded", ma
     return df.withColumn(text, F.arrow_udf(run, "string")(F.col(f"`{ids}`").cast("array<int>")))
 
 
+def encode_and_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` with ``ids`` and ``decoded`` in place of ``text``: what :func:`encode` and :func:`decode` give, in one pass.
+
+    A plan that uses a decoded column beside its ids would encode twice. Rows leave in batches of ``TEXTS``. Columns named
+    like the results are replaced.
+    """
+    spec, key, raw = _broadcast(df, path, max_bytes)
+    if json.loads(raw)["decoder"] is not None:
+        raise ValueError(f"{path} has a decoder of its own")
+    others = [c for c in df.columns if c.lower() not in (text.lower(), ids.lower(), decoded.lower())]
+    rows = df.select(*[F.col(f"`{c}`") for c in others], common.text_of(text).alias(text))
+
+    def run(batches):
+        tokenizer, table = _once(_loaded, key, lambda: PrefixBpe(spec.value)), _once(_texts, key, lambda: TokenTexts(spec.value))
+        for batch in common.slices(batches, TEXTS):
+            out, ends = bytearray(), [0]
+            tokenizer.encode_all([t or "" for t in batch.column(len(others)).to_pylist()], out, ends)
+            flat = np.frombuffer(out, np.int32)
+            words = pa.array([table.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], found, words], [*others, ids, decoded])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[F.col(f"`{c}`") for c in others]).schema)
+    return rows.mapInArrow(run, f"{kept}{', ' if kept else ''}`{ids}` array<int>, `{decoded}` string")
+
+
+def digests(both: DataFrame) -> list:
+    """Columns of the digests: number of ids, SHA-256 of the ids in decimal joined by spaces, SHA-256 of the decoded text."""
+    return [
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    ]
+
+
 def op1_bpe(spark, sf_dir):
     """Encode and decode every text of ``documents``; digests of the ids and of the decoded text."""
     import public_tokenizers
 
-    path = public_tokenizers.path("word_bpe_49k.json")
     docs = common.only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    ids = encode(docs, path).drop("text")
-    both = decode(ids, path)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    both = encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return both.select("doc_id", *digests(both))
