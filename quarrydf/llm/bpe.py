@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrydf.llm import common
+from quarrydf.llm.automaton import WIDTH, Automaton
 
 #: Stands for the end-of-word suffix inside the automaton; a private-use character that byte-level text never holds.
 _END = "\ue000"
 _NEVER = 1 << 60
-_WIDTH = 1 << 16
 #: Entries of each half of a worker's caches, and the longest text that they keep: their memory is bounded.
 CACHE, CACHED_CHARS = 150_000, 48
 #: Texts that are held as Python objects at once.
@@ -71,47 +71,6 @@ class _Halves:
         self.young[key] = value
 
 
-class _Automaton:
-    """All vocabulary tokens that end at a position: one step a character, from any state reached before."""
-
-    def __init__(self, tokens: list[tuple[str, tuple[int, int]]]):
-        # _WIDTH is over any character of the tokens, so a state and a character make one key
-        self.step: dict[int, int] = {}
-        ends: dict[int, tuple[int, int]] = {}
-        parents, states = [(0, 0)], 1
-        for text, found in tokens:
-            node = 0
-            for c in text:
-                key = node * _WIDTH + ord(c)
-                child = self.step.get(key)
-                if child is None:
-                    child = self.step[key] = states
-                    parents.append((node, ord(c)))
-                    states += 1
-                node = child
-            ends[node] = found
-        depth = [0] * states
-        for node in range(1, states):
-            depth[node] = depth[parents[node][0]] + 1
-        self.fail = [0] * states
-        #: By state, the tokens that end there, longest first.
-        self.hits: list[tuple[tuple[int, int], ...]] = [()] * states
-        for node in sorted(range(1, states), key=depth.__getitem__):
-            parent, c = parents[node]
-            if parent:
-                self.fail[node] = self.next(self.fail[parent], c)
-            own, rest = ends.get(node), self.hits[self.fail[node]]
-            self.hits[node] = (own, *rest) if own else rest
-
-    def next(self, state: int, c: int) -> int:
-        step = self.step
-        while (found := step.get(state * _WIDTH + c)) is None:
-            if not state:
-                return 0
-            state = self.fail[state]
-        return found
-
-
 class PrefixBpe:
     """A tokenizer file with a BPE model, encoding by the prefix table."""
 
@@ -159,7 +118,7 @@ class PrefixBpe:
                 continue
             self._length[i] = len(text)
             usable.append((text, (i, len(text))))
-        self._automaton = _Automaton(usable)
+        self._automaton = Automaton(usable)
         #: The prefix table of the piece encoded last: its text, and by prefix length the automaton's state and the last token.
         self._prefix, self._states, self._last = "", [0], [None]
 
@@ -225,7 +184,7 @@ class PrefixBpe:
         state = states[same]
         for end in range(same + 1, n + 1):
             c = ord(text[end - 1])
-            while (found := step.get(state * _WIDTH + c)) is None:
+            while (found := step.get(state * WIDTH + c)) is None:
                 if not state:
                     found = 0
                     break

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrydf.llm import common
+from quarrydf.llm.automaton import Automaton
 
 MAX_LANGUAGES = 500
 #: Words longer than this take the rescaled pass; shorter ones are passed in blocks.
@@ -69,6 +70,15 @@ class LanguageModel:
         self._unknown, self._none = n, n + 1
         self._seen: dict[str, int] = {}
         self._logs = np.zeros((CACHE + 1, len(self.languages)))
+        #: By state of the automaton, the pieces that end there and their lengths.
+        self._automaton = Automaton([(p, (i, len(p))) for i, p in enumerate(self.pieces) if p])
+        hits = self._automaton.hits
+        self._hits = np.array([len(h) for h in hits], np.int32)
+        self._ends = np.full((len(hits), max(1, int(self._hits.max()))), self._none, np.int32)
+        self._sizes = np.ones_like(self._ends)
+        for state, found in enumerate(hits):
+            for k, (i, size) in enumerate(found):
+                self._ends[state, k], self._sizes[state, k] = i, size
 
     def _spans(self, word: str):
         """(start, end, piece) of all pieces in the marked word, by end."""
@@ -101,27 +111,36 @@ class LanguageModel:
         return logs - len(word) * math.log(self._scale)
 
     def _block(self, words: list[str]) -> np.ndarray:
-        """The forward pass of words of equal length."""
-        index, none, unknown, longest = self._index, self._none, self._unknown, self._longest
-        n = len(words[0]) + 1
-        ids = np.full((n, min(longest, n), len(words)), none, np.int32)
+        """The forward pass of words of equal length; in sorted order neighbours share the states of their common start."""
+        n, m = len(words[0]) + 1, len(words)
+        states, unknown = np.zeros((n, m), np.int32), np.zeros((n, m), bool)
+        path, before, step = [self._automaton.next(0, ord(_START))], "", self._automaton.next
+        strange = {c for c in set().union(*words) if c not in self._index}
+        unknown[0] = _START not in self._index
         for at, word in enumerate(words):
-            word = _START + word
-            for end in range(1, n + 1):
-                for back in range(1, min(longest, end) + 1):
-                    i = index.get(word[end - back : end])
-                    if i is not None:
-                        ids[end - 1, back - 1, at] = i
-                    elif back == 1:
-                        ids[end - 1, 0, at] = unknown
-        ways = [np.ones((len(words), len(self.languages)))]
+            same = 0
+            for x, y in zip(word, before):
+                if x != y:
+                    break
+                same += 1
+            del path[same + 1 :]
+            for c in word[same:]:
+                path.append(step(path[-1], ord(c)))
+            states[:, at] = path
+            before = word
+            if strange:
+                unknown[1:, at] = [c in strange for c in word]
+        ways = np.ones((n + 1, m, len(self.languages)))
         for end in range(1, n + 1):
-            total = np.zeros((len(words), len(self.languages)))
-            for back in range(1, min(longest, end) + 1):
-                found = ids[end - 1, back - 1]
-                if (found != none).any():
-                    total += ways[end - back] * self._table[found]
-            ways.append(total)
+            total, here = np.zeros((m, len(self.languages))), states[end - 1]
+            if unknown[end - 1].any():
+                total += np.where(unknown[end - 1][:, None], ways[end - 1] * self._table[self._unknown], 0.0)
+            count = self._hits[here]
+            for k in range(int(count.max(initial=0))):
+                rows = np.flatnonzero(count > k)
+                at = here[rows]
+                total[rows] += ways[end - self._sizes[at, k], rows] * self._table[self._ends[at, k]]
+            ways[end] = total
         return np.log(np.maximum(ways[n], 1e-300)) - n * math.log(self._scale)
 
     def _learn_words(self, words: set[str]) -> None:
