@@ -245,7 +245,7 @@ def differing_bits(similarity: float, bits: int) -> int:
     return round(bits * acos(2 * similarity / (1 + similarity)) / pi)
 
 
-def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, similarity: float = 0.8, slack: float = 0.02, lanes: int = 8, pairs: int = 48) -> DataFrame:
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, similarity: float = 0.8, slack: float = 0.05, lanes: int = 8, pairs: int = 48) -> DataFrame:
     """``df`` with one row of each group of near-duplicates: the one with the smallest id (null last), then the smallest text digest.
 
     Texts link if their fingerprints of ``lanes`` times 64 bits over ``n``-word shingles differ in at most as many bits as a Jaccard
