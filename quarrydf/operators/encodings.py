@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrydf.operators.tables import with_row_id
+
 
 def _order(chunk_id: str, row_id: str):
     return Window.partitionBy(chunk_id).orderBy(row_id)
@@ -72,13 +74,16 @@ def rle_text(runs: DataFrame, mark: str = "~", between: str = ",", chunk_id: str
 
 
 def dictionary(df: DataFrame, column: str, row_id: str = "row_id") -> DataFrame:
-    """``value``, ``code`` (from 0) in order of first appearance. One row a distinct value."""
+    """``value``, ``code`` (from 0) in order of first appearance. One row a distinct value, numbered range by range."""
     seen = df.groupBy(F.col(f"`{column}`").alias("value")).agg(F.min(row_id).alias("first_row"))
-    return seen.select("value", (F.row_number().over(Window.orderBy("first_row")) - 1).cast("bigint").alias("code"))
+    return with_row_id(seen, "first_row", "code").select("value", "code")
 
 
 def frequency_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """``value``, ``n``, ``code`` (from 0) by count, largest first, then by value, and the ``bits`` of a code."""
+    """``value``, ``n``, ``code`` (from 0) by count, largest first, then by value, and the ``bits`` of a code.
+
+    One window numbers the distinct values: this is for columns that the advisor gives a dictionary, of at most 65,536 values.
+    """
     seen = df.groupBy(F.col(f"`{column}`").alias("value")).agg(F.count("*").alias("n"))
     code = (F.row_number().over(Window.orderBy(F.desc("n"), F.asc_nulls_last("value"))) - 1).cast("bigint")
     return seen.select("value", "n", code.alias("code"), bits_for(F.count("*").over(Window.partitionBy())).cast("bigint").alias("bits"))

@@ -26,6 +26,13 @@ def damaged_chunks(df: DataFrame, recorded: DataFrame, chunk_id: str = "chunk_id
     return a.join(b, F.col(f"a.{chunk_id}") == F.col(f"b.{chunk_id}"), "left").filter(differ).select(F.col(f"a.{chunk_id}"))
 
 
+def null_damaged(df: DataFrame, recorded: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
+    """``df`` with all cells of damaged chunks null: the rows keep their places, no damaged value is passed on."""
+    bad = damaged_chunks(df, recorded, chunk_id).select(F.col(chunk_id).alias("__bad"))
+    marked = df.join(bad, df[chunk_id] == bad["__bad"], "left")
+    return marked.select(*[F.col(f"`{c}`") if c == chunk_id else F.when(F.col("__bad").isNull(), F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
 def encrypt(c: Column, key: Column | bytes) -> Column:
     """AES-GCM with a random nonce: ciphertext that also detects tampering. Null stays null. The key is 16, 24 or 32 bytes."""
     k = F.lit(key) if isinstance(key, bytes) else key

@@ -437,6 +437,28 @@ def nested_display(spark, sf_dir):
     return df.select("event_id", display(F.col("v"), df.schema["v"].dataType).alias("shown"))
 
 
+@_query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{\"id\":' || event_id || ',\"tags\":[\"' || event_type || '\"]}' AS text FROM events")
+def nested_roundtrip(spark, sf_dir):
+    """Nested values as text and back; values of mixed kinds as variants."""
+    kind = "struct<id: bigint, tags: array<string>>"
+    v = F.struct(F.col("event_id").alias("id"), F.array("event_type").alias("tags"))
+    k = F.variant_get(F.parse_json("props"), "$.k", "bigint")
+    back = F.to_json(F.from_json(F.to_json(v), kind))
+    return _load(spark, sf_dir, "events").select("event_id", k.alias("k"), back.alias("text"))
+
+
+@_query(f"SELECT chunk_id, row_id - {CHUNK} * chunk_id AS row_in_chunk, event_id FROM {_EVENTS}")
+def chunk_keys(spark, sf_dir):
+    """Rows by (chunk, place in the chunk)."""
+    df = _numbered(spark, sf_dir, "events", "event_id")
+    return df.select("chunk_id", (F.col("row_id") - CHUNK * F.col("chunk_id")).alias("row_in_chunk"), "event_id")
+
+
+@_query("SELECT 'count' AS summary, CAST(count(p_size) AS VARCHAR) AS p_size FROM part UNION ALL SELECT 'min', CAST(min(p_size) AS VARCHAR) FROM part UNION ALL SELECT 'max', CAST(max(p_size) AS VARCHAR) FROM part")
+def describe(spark, sf_dir):
+    return _load(spark, sf_dir, "part").select("p_size").summary("count", "min", "max")
+
+
 @_query("SELECT vec_id, len(embedding) = 64 AS ok, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings")
 def embedding_dim_check(spark, sf_dir):
     size = F.size("embedding").cast("bigint")

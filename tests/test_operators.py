@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from quarrydf.functions.schema import as_bool, as_int, display, is_numeric, parse_schema, schema_text
 from quarrydf.operators import encodings, index, lifecycle, security, stats, tables
-from quarrydf.sources import interchange
+from quarrydf.sources import interchange, store
 from quarrydf.streaming.events import read_stream, windowed
 
 
@@ -201,3 +201,42 @@ def test_stream_counts_like_a_batch(spark, sf, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("counts").collect()} == {tuple(r) for r in windowed(events, "ts", ["event_type"], "user_id").collect()}
+
+
+def test_store_prunes_and_reports(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.range(2000).selectExpr("id", "id % 4 AS part", "cast(id AS string) AS name")
+    store.write(df, path, partition_by=["part"], sort_by=["id"], bloom=["name"], chunk_bytes=1 << 20)
+    assert store.partitions(spark, path) == 4
+    plan = store.read(spark, path, columns=["id", "part"]).filter("part = 2 AND id > 5")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "GreaterThan(id,5)" in plan and "name" not in plan.split("ReadSchema")[1]
+    with pytest.raises(Exception):
+        store.write(df, path)
+    store.write(df, path, mode="ignore")
+    with pytest.raises(ValueError):
+        store.write(df, path, mode="sometimes")
+    assert store.report(spark, path).startswith("2000 rows, 3 columns")
+    more = str(tmp_path / "u")
+    store.write(spark.range(3).selectExpr("id", "1.5D AS extra"), more)
+    assert set(store.read(spark, path, more, merge=True).columns) == {"id", "name", "part", "extra"}
+    with pytest.raises(ValueError):
+        store.read(spark, more, columns=["absent"])
+
+
+def test_tables_from_rows_and_columns(spark):
+    rows = [(1, "alice", True, 3.5), (2, "bob", False, 7.25), (3, None, None, None)]
+    df = store.from_rows(spark, rows, "id:int,name:str,flag:bool,score:float")
+    assert [tuple(r) for r in df.orderBy("id").collect()] == rows
+    same = store.from_columns(spark, {"id": [1, 2, 3], "name": ["alice", "bob", None]}, "id:int,name:str")
+    assert [tuple(r) for r in same.orderBy("id").collect()] == [r[:2] for r in rows]
+    assert store.from_rows(spark, [], "id:int").count() == 0 and store.from_columns(spark, {"id": []}, "id:int").count() == 0
+    with pytest.raises(ValueError):
+        store.from_columns(spark, {"a": [1], "b": []})
+
+
+def test_damaged_chunks_become_null(spark):
+    df = column(spark, ["a", "b", "c"], "string", 2).drop("row_id")
+    recorded = security.chunk_checksums(df)
+    changed = df.withColumn("v", F.when(F.col("v") == "c", "C").otherwise(F.col("v")))
+    assert sorted(r["v"] or "" for r in security.null_damaged(changed, recorded).collect()) == ["", "a", "b"]
+    assert spark.range(1).select(F.crc32(F.lit("123456789").cast("binary"))).first()[0] == 3421780262
