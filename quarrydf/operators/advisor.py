@@ -8,6 +8,15 @@ from pyspark.sql.window import Window
 
 from quarrydf.operators.encodings import bits_for, varint_bytes, zigzag
 
+# Fixed values of the rule sets: widest FOR residual in bits, most values of a chunk's dictionary, bytes that a string costs beside its own,
+# values below which the column profiler advises a dictionary, most values of a file's dictionary, mean length from which text is compressed.
+FOR_BITS = 32
+DICTIONARY_VALUES = 65_536
+STRING_COST = 5
+PROFILE_VALUES = 1000
+FILE_DICTIONARY_VALUES = 256
+LONG_TEXT = 32
+
 
 def integer_sizes(df: DataFrame, column: str, chunk_id: str = "chunk_id", row_id: str = "row_id") -> DataFrame:
     """For each chunk: rows, whether steps are constant, and the bytes that FOR, delta and RLE would take."""
@@ -39,7 +48,7 @@ def integer_sizes(df: DataFrame, column: str, chunk_id: str = "chunk_id", row_id
 def integer_codec(sizes: DataFrame) -> DataFrame:
     """``codec``: CDELTA for constant steps, else the smallest of FOR (32 bits or fewer), DELTA and RLE; ties in that order."""
     big = F.lit(1 << 62)
-    for_size = F.when(F.col("for_bits") <= 32, F.col("for_bytes")).otherwise(big)
+    for_size = F.when(F.col("for_bits") <= FOR_BITS, F.col("for_bytes")).otherwise(big)
     least = F.least(for_size, "delta_bytes", "rle_bytes")
     return sizes.withColumn("codec", F.when(F.col("n") == 0, "RAW").when(F.col("constant"), "CDELTA").when(for_size == least, "FOR").when(F.col("delta_bytes") == least, "DELTA").otherwise("RLE"))
 
@@ -51,21 +60,21 @@ def string_codec(df: DataFrame, column: str, chunk_id: str = "chunk_id", row_id:
     rows = df.select(chunk_id, v.alias("v"), new.alias("new"))
     by_value = rows.groupBy(chunk_id, "v").agg(F.count("*").alias("n"), F.sum("new").alias("runs"))
     size = F.octet_length("v")
-    per = by_value.groupBy(chunk_id).agg(F.sum("n").alias("n"), F.count("v").alias("distinct"), F.sum("runs").alias("runs"), F.sum(size + 5).alias("table_bytes"), F.sum(size * F.col("n")).alias("bytes"))
-    run_bytes = F.col("runs") * (F.col("bytes") / F.col("n") + 5)
+    per = by_value.groupBy(chunk_id).agg(F.sum("n").alias("n"), F.count("v").alias("distinct"), F.sum("runs").alias("runs"), F.sum(size + STRING_COST).alias("table_bytes"), F.sum(size * F.col("n")).alias("bytes"))
+    run_bytes = F.col("runs") * (F.col("bytes") / F.col("n") + STRING_COST)
     dict_bytes = F.col("table_bytes") + F.ceil(bits_for(F.col("distinct")) * F.col("n") / 8)
-    codec = F.when(F.col("n") == 0, "RAW").when(F.col("distinct") > 65_536, "RAW").when(F.col("distinct") <= 1, "RLE").when(run_bytes <= dict_bytes, "RLE").otherwise("BDICT")
+    codec = F.when(F.col("n") == 0, "RAW").when(F.col("distinct") > DICTIONARY_VALUES, "RAW").when(F.col("distinct") <= 1, "RLE").when(run_bytes <= dict_bytes, "RLE").otherwise("BDICT")
     return per.select(chunk_id, "n", "distinct", "runs", codec.alias("codec"))
 
 
 def profile_codec(kind: Column, distinct: Column, rows: Column) -> Column:
     """The advice of the column profiler, from its statistics alone."""
-    return F.when(distinct < 1000, "Dictionary").when(kind.isin("int", "float"), "FOR").when((kind == "str") & (distinct < rows / 2), "Dictionary").otherwise("LZSS")
+    return F.when(distinct < PROFILE_VALUES, "Dictionary").when(kind.isin("int", "float"), "FOR").when((kind == "str") & (distinct < rows / 2), "Dictionary").otherwise("LZSS")
 
 
 def simple_codec(distinct: Column) -> Column:
     """A dictionary for fewer than 1000 values, else nothing."""
-    return F.when(distinct < 1000, "dict").otherwise("none")
+    return F.when(distinct < PROFILE_VALUES, "dict").otherwise("none")
 
 
 def type_codec(kind: Column) -> Column:
@@ -75,5 +84,5 @@ def type_codec(kind: Column) -> Column:
 
 def value_codec(kind: Column, distinct: Column, mean_length: Column) -> Column:
     """The advice by type, distinct values and mean length, for single-file tables."""
-    text = F.when(distinct <= 256, "DictRLE").when(mean_length > 32, "LZ77").otherwise("None")
+    text = F.when(distinct <= FILE_DICTIONARY_VALUES, "DictRLE").when(mean_length > LONG_TEXT, "LZ77").otherwise("None")
     return F.when(kind.isin("int", "float"), "Delta").when(kind == "bool", "RLE").when(kind == "embedding", "None").when(kind == "str", text).otherwise("LZ77")

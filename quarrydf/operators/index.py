@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits and hash functions of a chunk's bloom filter.
+# Bits and hash functions of a chunk's bloom filter.
 BLOOM_BITS, BLOOM_HASHES = 4096, 3
 
 
