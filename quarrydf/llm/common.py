@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 #: Whole-sequence white space of the corpus contracts: words are what lies between these.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_written: set[str] = set()
 _shipped: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
 
@@ -37,16 +38,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._quarrydf_path = path
+    _written.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _written.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that no later plan reads."""
     path = getattr(df, "_quarrydf_path", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables of :func:`materialize` that this process has written; for when its results have been used."""
+    for path in list(_written):
+        _delete(spark, path)
 
 
 def ship(spark: SparkSession) -> None:
