@@ -254,7 +254,7 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     48 in 97 of 100 cases, at 0.85 in over 99. Equal fingerprints always link. Texts without words, null ones included, are one
     group. Rows that repeat id and text count as copies: one stays. The columns are those of ``df``.
     """
-    keyed = df.withColumn("__digest", F.xxhash64(common.text_of(text)))
+    keyed = df.select(*[F.col(f"`{c}`") for c in df.columns]).withColumn("__digest", F.xxhash64(common.text_of(text)))
     printed = with_fingerprints(keyed.select(F.col(f"`{doc_id}`").alias("id"), F.col("__digest").alias("digest"), F.col(f"`{text}`").alias("text")), n=n, lanes=lanes)
     prints = common.materialize(printed.select("id", "digest", "fp", "node"), "prints")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
@@ -263,10 +263,14 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     found = links(entries, spread_pairs(8 * lanes, pairs), differing_bits(similarity - slack, 64 * lanes), 2, lanes)
     roots = common.materialize(components(found), "roots")
     rooted = entries.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("__id"), F.col("first.digest").alias("__of"))
-    same = keyed[doc_id].eqNullSafe(kept["__id"]) & (keyed["__digest"] == kept["__of"])
-    rank = F.row_number().over(Window.partitionBy(F.col(f"`{doc_id}`"), "__digest").orderBy(F.lit(1)))
-    return keyed.join(kept, same, "left_semi").withColumn("__copy", rank).filter("__copy = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    # plain keys, the same in join and window, so that the texts are dealt out once
+    key = lambda c: [F.coalesce(c.cast("string"), F.lit("")), c.isNull()]
+    names = ["__key", "__no_key", "__digest"]
+    mine = keyed.select("*", *[c.alias(n) for c, n in zip(key(F.col(f"`{doc_id}`")), names)])
+    wanted = kept.select(*[c.alias(n) for c, n in zip([*key(F.col("id")), F.col("digest")], names)])
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))
+    return mine.join(wanted, names, "left_semi").withColumn("__copy", rank).filter("__copy = 1").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op4_simhash(spark, sf_dir):
