@@ -26,7 +26,7 @@ _NEVER = 1 << 60
 #: Entries of each half of a worker's caches, and the longest text that they keep: their memory is bounded.
 CACHE, CACHED_CHARS = 150_000, 48
 #: Texts that are held as Python objects at once.
-TEXTS = 512
+TEXTS = 256
 
 #: Texts of these characters alone need no library to clean and cut them: no character composes with its neighbour, each
 #: has one lower-case form, and letters, digits and the rest are told apart by the pattern below.
@@ -75,17 +75,12 @@ class PrefixBpe:
     """A tokenizer file with a BPE model, encoding by the prefix table."""
 
     def __init__(self, spec: str):
-        from tokenizers import Tokenizer
-
         parsed = json.loads(spec)
         model = parsed["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
             raise ValueError("needs a BPE model without dropout, subword prefix or byte fallback")
         self.suffix = model.get("end_of_word_suffix") or ""
-        #: The library cleans and cuts the text; merging is done here.
-        library = Tokenizer.from_str(spec)
-        self._clean = library.normalizer.normalize_str if library.normalizer else (lambda s: s)
-        self._cut = library.pre_tokenizer.pre_tokenize_str if library.pre_tokenizer else (lambda s: [(s, None)])
+        self._spec, self._library = spec, None
         self.added = {x["content"]: x["id"] for x in parsed["added_tokens"]}
         if any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] for x in parsed["added_tokens"]):
             raise ValueError("added tokens must be matched as they are")
@@ -216,8 +211,15 @@ class PrefixBpe:
         return out[::-1]
 
     def _plain(self, text: str) -> list[int]:
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            # it cleans and cuts what is not plain; merging is always done here
+            self._library = Tokenizer.from_str(self._spec)
+        clean, cut = self._library.normalizer, self._library.pre_tokenizer
+        text = clean.normalize_str(text) if clean else text
         out: list[int] = []
-        for part, _ in self._cut(self._clean(text)):
+        for part, _ in cut.pre_tokenize_str(text) if cut else [(text, None)]:
             if part:
                 out += self.piece(part)
         return out

@@ -61,8 +61,16 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+#: Texts can be long, so batches for Python workers are bounded by bytes. Spark's own bound is 64 MB, which a worker and its
+#: executor each hold more than once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, whatever their working folder is."""
+    """Make this package importable in the executors' Python workers, whatever their working folder is, and bound their batches."""
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc in _shipped:
         return
