@@ -92,7 +92,7 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def fit(rows: list[tuple[int, list[int], list[int] | None]], words: list[str], sparsity: float = 0.002, pairing: float = 1.0, rounds: int = 400) -> ToxicityModel:
+def fit(rows: list[tuple[int, list[int], list[int] | None]], words: list[str], sparsity: float = 0.0005, pairing: float = 1.0, rounds: int = 400) -> ToxicityModel:
     """Accelerated proximal gradient on: class-balanced logistic loss + ``sparsity`` x absolute weights + ``pairing`` x mean
     squared logit change of the counterfactual pairs. rows: label, feature numbers, feature numbers after the swap."""
     y = np.array([r[0] for r in rows], np.float64)
