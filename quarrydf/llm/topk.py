@@ -130,7 +130,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     spark = vectors.sparkSession
     common.ship(spark)
-    rows = vectors.filter("v IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "v", F.size("v").alias("dim"))
+    # the place in the table spreads repeated rows over the shards
+    rows = vectors.select("vec_id", "v", F.monotonically_increasing_id().alias("place")).filter("v IS NOT NULL AND vec_id IS NOT NULL").withColumn("dim", F.size("v"))
     asked = queries.filter("v IS NOT NULL AND vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", F.size("v").alias("dim"))
     n, m = rows.count(), asked.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
@@ -140,7 +141,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     pilot = rows.orderBy(norm.desc(), "vec_id").limit(PILOT).collect()
     shared = spark.sparkContext.broadcast([(r["vec_id"], list(r["v"])) for r in pilot])
 
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("vec_id", "place"), F.lit(shards)).cast("int")
     to_blocks = rows.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), (shard % spans).alias("span"), (shard + 1).alias("part"), "vec_id", "v")
     block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")
     to_spans = asked.select("dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(spans - 1))).alias("span"), F.lit(0).alias("part"), "vec_id", "v")
