@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,16 @@ _START = "▁"
 _UNDEFINED = "und"
 
 
-def words_of(text: str) -> list[str]:
-    """The runs of letters, lower-cased."""
+@cache
+def _letters():
     import regex
 
-    global _letters
-    if _letters is None:
-        _letters = regex.compile(r"\p{L}+")
-    return _letters.findall(text.lower())
+    return regex.compile(r"\p{L}+")
 
 
-_letters = None
+def words_of(text: str) -> list[str]:
+    """The runs of letters, lower-cased."""
+    return _letters().findall(text.lower())
 
 
 def load_pieces(path: str) -> list[str]:

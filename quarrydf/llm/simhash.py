@@ -250,8 +250,8 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
 
     Texts link if their fingerprints of ``lanes`` times 64 bits over ``n``-word shingles differ in at most as many bits as a Jaccard
     similarity of ``similarity - slack`` lets expect; groups are what links connect. At such distances no byte is
-    guaranteed to be shared, so posting keys are ``pairs`` pairs of positional bytes: a pair of texts at a similarity of 0.8 shares one of
-    48 in 97 of 100 cases, at 0.85 in over 99. Equal fingerprints always link. Texts without words, null ones included, are one
+    guaranteed to be shared, so posting keys are ``pairs`` pairs of positional bytes: by the expected share of equal bits a pair of texts at a similarity of
+    0.8 shares one of 48 in 97 of 100 cases, at 0.85 in over 99. Equal fingerprints always link. Texts without words, null ones included, are one
     group. Rows that repeat id and text count as copies: one stays. The columns are those of ``df``.
     """
     keyed = df.select(*[F.col(f"`{c}`") for c in df.columns]).withColumn("__digest", F.xxhash64(common.text_of(text)))
