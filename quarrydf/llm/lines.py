@@ -7,8 +7,9 @@ its document. Two overlapping names give the name of the first ``min_lines`` lin
 
 Suffixes of equal name are an interval of the suffix array whose longest common prefix is at least ``min_lines``. A line run is
 repeated and long enough exactly if each of its windows of ``min_lines`` lines lies in such an interval, so the
-maximal repeated runs are the unions of neighbouring windows, and the sort never has to go deeper. In each interval the
-first suffix stays; the windows of all others are deleted.
+maximal repeated runs are the unions of neighbouring windows. No deeper order is needed, so the intervals are found by
+grouping equal names and the array itself is never written out. In each interval the first suffix stays; the windows of all
+others are deleted.
 """
 
 from __future__ import annotations
