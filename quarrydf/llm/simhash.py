@@ -13,7 +13,6 @@ hold one of the whole list. So no list is bound to one task and no group of copi
 from __future__ import annotations
 
 from itertools import combinations
-from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -225,44 +224,206 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n
     return prints.join(named, "node", "left").select("doc_id", "fp", "node", "component_id")
 
 
-def spread_pairs(positions: int, count: int) -> list[tuple[int, int]]:
-    """``count`` pairs of positions, in rounds of pairs that do not overlap."""
-    out: list[tuple[int, int]] = []
-    for turn in range(positions.bit_length() - 1):
-        used: set[int] = set()
-        for a in range(positions):
-            b = (a + (1 << turn)) % positions
-            if a not in used and b not in used and len(out) < count:
-                out.append((a, b))
-                used |= {a, b}
-    if len(out) < count:
-        raise ValueError(f"at most {len(out)} pairs")
-    return out
+def shingle_set(text: str, n: int = 5) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted (uint64)."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(s, 42) for s in shingles(text, n)], np.uint64))
+
+
+def least_overlap(a, b, similarity: float):
+    """The fewest common elements of sets of ``a`` and ``b`` elements at this Jaccard similarity (not rounded up)."""
+    return similarity / (1 + similarity) * (a + b) - 1e-9
+
+
+def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first elements of a set, rare ones first, of which any two sets at this similarity share one.
+
+    ``common`` holds elements to be put last, the most common one at its end; all others are ordered by value.
+    """
+    if len(common):
+        order = np.argsort(common)
+        at = np.minimum(np.searchsorted(common[order], found), len(common) - 1)
+        place = np.where(common[order][at] == found, order[at] + 1, 0)
+        found = found[np.lexsort((found, place))]
+    return found[: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1] if len(found) else found
+
 
+def _alike(group: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float):
+    """Pairs of row numbers inside runs of equal ``group`` that may be similar: of different roots, whose sizes and whose places
+    of the shared element leave room for the overlap needed. A similar pair passes at the first element it shares."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[starts, len(group)])
+
+    def may(i, j):
+        need = least_overlap(size[i], size[j], similarity)
+        return (root[i] != root[j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """The expected number of differing bits of two fingerprints whose shingle sets have this Jaccard similarity."""
-    return round(bits * acos(2 * similarity / (1 + similarity)) / pi)
+    short = np.repeat(sizes, sizes) <= SHORT
+    for d in range(1, min(SHORT, int(sizes.max()))):
+        i = np.flatnonzero(short[:-d] & (group[:-d] == group[d:]))
+        i = i[may(i, i + d)]
+        yield i, i + d
+    for s, k in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
+        for i in range(s, s + k - 1):
+            j = np.arange(i + 1, s + k)
+            j = j[may(i, j)]
+            yield np.full(len(j), i), j
 
 
-def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, similarity: float = 0.8, slack: float = 0.05, lanes: int = 8, pairs: int = 48) -> DataFrame:
+def candidates(posts: DataFrame, similarity: float) -> DataFrame:
+    """``u``, ``v``: every pair of nodes of different ``root`` that can have this similarity, from ``key``, ``node``, ``size``, ``at``, ``root``, ``n``.
+
+    Lists are dealt out as pairs of blocks where they exceed ``LIST``.
+    """
+    half = LIST // 2
+    blocks = F.ceil(F.col("n") / half)
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    dealt = F.when(F.col("n") <= LIST, whole).otherwise(
+        F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")))
+    )
+
+    def meet(batches):
+        rest = None
+        for batch in batches:
+            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            if rest is not None:
+                got = [np.concatenate([a, b]) for a, b in zip(rest, got)]
+            if not len(got[0]):
+                continue
+            change = np.r_[True, (got[0][1:] != got[0][:-1]) | (got[1][1:] != got[1][:-1]) | (got[2][1:] != got[2][:-1])]
+            last = int(np.flatnonzero(change)[-1])
+            yield from found([x[:last] for x in got], change[:last])
+            rest = [x[last:] for x in got]
+        if rest is not None:
+            yield from found(rest, np.r_[True, np.zeros(len(rest[0]) - 1, bool)])
+
+    def found(got, change):
+        if len(got[0]) < 2:
+            return
+        node, held, count = got[3], [], 0
+
+        def out():
+            both = np.unique(np.sort(np.concatenate(held), 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
+
+        for i, j in _alike(np.cumsum(change), got[4].astype(np.int64), got[5], got[6], similarity):
+            if len(i):
+                held.append(np.stack([node[i], node[j]], 1))
+                count += len(i)
+            if count > 1 << 16:
+                yield out()
+                held, count = [], 0
+        if held:
+            yield out()
+
+    spread = posts.select("key", "node", "size", "at", "root", F.explode(dealt).alias("b")).select("key", "b.i", "b.j", "node", "size", "at", "root")
+    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u long, v long").distinct()
+
+
+def chains(entries: DataFrame) -> DataFrame:
+    """``u``, ``v``: pairs of nodes that follow each other, in an order by hash, among those of an equal minimum in ``mins`` that agree in
+    half of the minima. They are the likely links of large groups, in proportion to their size."""
+    posts = entries.select("node", F.posexplode("mins").alias("lane", "least"))
+    long = posts.groupBy("lane", "least").agg(F.count("*").alias("n")).filter(F.col("n") > LIST)
+    part = F.pmod(F.xxhash64("node", "lane"), F.coalesce(F.ceil(F.col("n") / LIST), F.lit(1).cast("long")))
+    dealt = posts.join(long, ["lane", "least"], "left").withColumn("part", part)
+    after = F.lead("node").over(Window.partitionBy("lane", "least", "part").orderBy(F.xxhash64("node", "least"), "node"))
+    pairs = dealt.select("node", after.alias("after")).filter("after IS NOT NULL")
+    met = pairs.groupBy(F.least("node", "after").alias("u"), F.greatest("node", "after").alias("v")).agg(F.count("*").alias("n"))
+    left, right = (entries.select(F.col("node").alias(x), F.col("mins").alias(f"of_{x}")) for x in "uv")
+    same = F.size(F.filter(F.zip_with("of_u", "of_v", lambda a, b: a == b), lambda x: x))
+    return met.join(left, "u").join(right, "v").filter(same >= 4).select("u", "v")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``u``, ``v`` whose sets (``node``, ``elements``) have at least this Jaccard similarity, exactly."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b):
+            x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(same >= least_overlap(len(x), len(y), similarity))
+        return pa.array(out, pa.bool_())
+
+    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("elements").alias("__a")), "u").join(sets.select(F.col("node").alias("v"), F.col("elements").alias("__b")), "v")
+    return met.withColumn("__ok", F.arrow_udf(run, "boolean")("__a", "__b")).filter("__ok").select("u", "v")
+
+
+def common_shingles(df: DataFrame, text: str, n: int, docs: int = 4000, most: int = 1 << 17) -> np.ndarray:
+    """Hashes of shingles of several texts, the most common one last, learned on about ``docs`` rows. They decide the order in which
+    shingles are compared, so how much is compared, but not what is found."""
+    every = max(1, df.count() // docs)
+    few = df.filter(F.pmod(F.xxhash64(F.col(f"`{text}`"), F.lit("few")), F.lit(every)) == 0)
+    run = F.arrow_udf(lambda texts: pa.array([shingle_set(t.as_py() or "", n).view(np.int64) for t in texts], pa.list_(pa.int64())), "array<long>")
+    counted = few.select(F.explode(run(F.col(f"`{text}`").cast("string"))).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    rows = counted.filter("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, similarity: float = 0.8) -> DataFrame:
     """``df`` with one row of each group of near-duplicates: the one with the smallest id (null last), then the smallest text digest.
 
-    Texts link if their fingerprints of ``lanes`` times 64 bits over ``n``-word shingles differ in at most as many bits as a Jaccard
-    similarity of ``similarity - slack`` lets expect; groups are what links connect. At such distances no byte is
-    guaranteed to be shared, so posting keys are ``pairs`` pairs of positional bytes: by the expected share of equal bits a pair of texts at a similarity of
-    0.8 shares one of 48 in 97 of 100 cases, at 0.85 in over 99. Equal fingerprints always link. Texts without words, null ones included, are one
+    Exact: texts link if the Jaccard similarity of their sets of ``n``-word shingles is at least ``similarity``; groups are what links
+    connect. Sets of such a similarity share an element of their prefixes (in one order of all shingles, rare ones first), so all pairs that meet in a
+    prefix, and are not connected yet, are verified on the whole sets. To spare large groups their pairs, likely links are verified
+    first. Texts without words, null ones included, are one
     group. Rows that repeat id and text count as copies: one stays. The columns are those of ``df``.
     """
+    common.ship(df.sparkSession)
     keyed = df.select(*[F.col(f"`{c}`") for c in df.columns]).withColumn("__digest", F.xxhash64(common.text_of(text)))
-    printed = with_fingerprints(keyed.select(F.col(f"`{doc_id}`").alias("id"), F.col("__digest").alias("digest"), F.col(f"`{text}`").alias("text")), n=n, lanes=lanes)
-    prints = common.materialize(printed.select("id", "digest", "fp", "node"), "prints")
+    plain = keyed.select(F.col(f"`{doc_id}`").alias("id"), F.col("__digest").alias("digest"), F.col(f"`{text}`").cast("string").alias("text"))
+    last = common_shingles(plain, "text", n)
+
+    def describe(texts: pa.Array) -> pa.Array:
+        from xxhash import xxh64_intdigest
+
+        nodes, sizes, mins, first = [], [], [], []
+        for t in texts:
+            found = shingle_set(t.as_py() or "", n)
+            nodes.append(np.uint64(xxh64_intdigest(found.tobytes())).astype(np.int64))
+            sizes.append(len(found))
+            mins.append([_mix(found, k).min().astype(np.int64) for k in range(1, 9)] if len(found) else [])
+            first.append(prefix(found, last, similarity).view(np.int64))
+        columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(mins, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, ["node", "size", "mins", "first"])
+
+    def elements(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py() or "", n).tobytes() for t in texts], pa.binary())
+
+    described = plain.withColumn("d", F.arrow_udf(describe, "struct<node: long, size: int, mins: array<long>, first: array<long>>")("text"))
+    prints = common.materialize(described.select("id", "digest", "d.*"), "prints")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
-    entries = common.materialize(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(place).alias("first")), "entries")
+    one = F.first(F.struct("digest", "size", "mins", F.col("first").alias("keys"))).alias("one")
+    entries = common.materialize(prints.groupBy("node").agg(one, F.min(place).alias("first")).select("node", "one.*", "first"), "entries")
     common.discard(prints)
-    found = links(entries, spread_pairs(8 * lanes, pairs), differing_bits(similarity - slack, 64 * lanes), 2, lanes)
+    posts = entries.select("node", "size", F.posexplode("keys").alias("at", "key"))
+    shared = common.materialize(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    lists = common.materialize(posts.join(shared, "key"), "lists")
+    met = lists.select("node").distinct().join(entries.select("node", "mins"), "node")
+    near = common.materialize(chains(met), "likely-pairs")
+    firsts = common.materialize(entries.select("node", "digest", "first"), "firsts")
+    common.discard(entries)
+    common.discard(shared)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts.select("node", "digest"), "node")
+        texts = plain.join(ends, "digest").groupBy("node").agg(F.first("text").alias("text"))
+        sets = common.materialize(texts.select("node", F.arrow_udf(elements, "binary")("text").alias("elements")), "sets")
+        out = common.materialize(verified(pairs, sets, similarity), "verified")
+        common.discard(sets)
+        return out
+
+    likely = check(near)
+    tied = common.materialize(components(likely), "tied")
+    rest = lists.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_pairs = common.materialize(candidates(rest, similarity), "open-pairs")
+    common.discard(lists)
+    found = likely.unionByName(check(open_pairs))
     roots = common.materialize(components(found), "roots")
-    rooted = entries.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    rooted = firsts.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
     # plain keys, the same in join and window, so that the texts are dealt out once
     key = lambda c: [F.coalesce(c.cast("string"), F.lit("")), c.isNull()]

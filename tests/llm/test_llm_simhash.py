@@ -133,3 +133,25 @@ def test_one_of_each(spark):
     kept = [r["doc_id"] for r in simhash.one_of_each(df).collect()]
     assert sorted(kept, key=str) == sorted(wanted, key=str)
     assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size,short", [(8192, 12), (16, 3)])
+def test_one_of_each_against_exact_similarity(spark, monkeypatch, size, short):
+    """Scattered edits around 0.8, a hub whose copies are far from each other, and a passage that many texts share."""
+    monkeypatch.setattr(simhash, "LIST", size)
+    monkeypatch.setattr(simhash, "SHORT", short)
+    rng = random.Random(8)
+    texts, passage = [], [f"p{i}" for i in range(80)]
+    for length in [6, 9, 30, 60, 100, 200, 400] * 12:
+        words = [f"w{rng.randrange(9000)}" for _ in range(length)]
+        texts += [words, near(rng, words, max(1, round(length * rng.uniform(0.018, 0.03))))]
+    hub = [f"h{rng.randrange(9000)}" for _ in range(200)]
+    texts += [near(rng, hub, 4) for _ in range(40)] + [hub]
+    texts += [passage + [f"q{rng.randrange(9000)}" for _ in range(rng.choice([5, 15, 25]))] for _ in range(40)]
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    scores = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+    assert sum(0.78 <= x < 0.8 for x in scores.values()) > 5 and sum(0.8 <= x < 0.86 for x in scores.values()) > 20
+    root = roots(len(texts), [p for p, x in scores.items() if x >= 0.8])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(set(root))
