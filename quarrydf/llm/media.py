@@ -23,8 +23,8 @@ NAMES = {ALAW: "alaw", MULAW: "mulaw", ADPCM: "adpcm", PCM: "pcm"}
 #: A payload is padded to whole units; both sample formats and the blocks of ADPCM fit into one.
 UNIT, PAD = 576, 255
 BLOCK = 36
-#: Documents decoded at once.
-DOCS = 64
+#: Documents decoded at once, and bytes of files that they may hold together (a larger file is decoded alone): PCM takes seven times that.
+DOCS, FILE_BYTES = 64, 1 << 20
 
 
 def mulaw_table() -> np.ndarray:
@@ -129,7 +129,8 @@ def store(df: DataFrame, text: str = "text", media: str = "media", rate: int = 8
     """``df`` with ``media`` (binary): a WAV file whose sample data is the text's payload.
 
     The format is chosen by the payload's crc32: mu-law, A-law or ADPCM, so equal texts give equal files. Null texts count as empty
-    and give one unit of padding. Row by row, whole texts; a column named ``media`` is replaced.
+    and give one unit of padding. Row by row, whole texts; repeated rows get equal files, an empty table stays empty; a column
+    named ``media`` is replaced.
     """
     common.ship(df.sparkSession)
 
@@ -150,8 +151,8 @@ def decode(df: DataFrame, media: str = "media", rate: int = 16000, pcm: bool = T
     """``df`` with what the files of ``media`` hold: ``payload`` (binary, the sample data), ``codec``, ``feature`` (of the
     resampled samples) and, with ``pcm``, ``pcm`` (binary, a 16-bit WAV file at ``rate``). Columns of those names are replaced.
 
-    A null file gives nulls; a file of another kind is an error. Files leave in batches of ``DOCS`` rows, so memory is bounded by
-    the files of one batch and the largest file.
+    A null file gives nulls; a file of another kind is an error. Files leave in batches of at most ``DOCS`` rows and ``FILE_BYTES``, so memory is
+    bounded by these and the largest file. An empty table stays empty.
     """
     common.ship(df.sparkSession)
     tables = {MULAW: mulaw_table(), ALAW: alaw_table()}
@@ -162,7 +163,7 @@ def decode(df: DataFrame, media: str = "media", rate: int = 16000, pcm: bool = T
         raise ValueError(f"no column {media}")
 
     def run(batches):
-        for batch in common.slices(batches, DOCS):
+        for batch in common.slices(batches, DOCS, names.index(media), FILE_BYTES):
             read = [unwav(m) if m is not None else None for m in batch.column(names.index(media)).to_pylist()]
             packed = [np.frombuffer(r[2], np.uint8) for r in read if r and r[0] == ADPCM]
             decoded = adpcm(np.concatenate(packed)) if packed else None
@@ -195,10 +196,10 @@ def decode(df: DataFrame, media: str = "media", rate: int = 16000, pcm: bool = T
 
 
 def op7_media(spark, sf_dir):
-    """Store every text of ``documents`` as telephony audio, read it back, and describe the samples."""
+    """Store every text of ``documents`` as telephony audio, read it back, store the resampled PCM, and describe the samples."""
     docs = common.only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     stored = store(docs).select("doc_id", F.octet_length(common.text_of("text")).cast("long").alias("n_bytes"), "media")
-    read = decode(stored, pcm=False)
+    read = decode(stored)
     return read.select(
         "doc_id",
         "n_bytes",
@@ -208,4 +209,7 @@ def op7_media(spark, sf_dir):
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "codec",
+        F.length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
     )

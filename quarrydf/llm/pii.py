@@ -4,7 +4,7 @@ Regular expressions propose spans, checksum validators (Luhn for cards, mod 97 f
 close to a span raise or lower its score. Spans count code points, end exclusive.
 
 A pattern's matches and the texts between them (``regexp_extract_all`` and ``split`` with the same pattern) give each
-match's place by adding up lengths, so no position is searched twice. The patterns use possessive loops and start only
+match's place by adding up lengths block by block, and a span's surroundings are looked up in a piece of the text, so no position is searched twice. The patterns use possessive loops and start only
 where a run of their first characters starts or the last match ended; that finds the same leftmost matches in linear time
 and without deep recursion, on words of any length.
 """
@@ -70,43 +70,94 @@ KINDS = [
     Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])", lambda t: t.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), lambda m: F.when(_between(F.length(F.regexp_replace(m, " ", "")), 15, 34), mod97(m)).otherwise(False), 0.9, "iban|account|bank|konto|compte|cuenta", "serial|part", base=False),
 ]
 _SPAN = "array<struct<kind: string, start: long, end: long, value: string, score: double>>"
+#: Values that are added up one after the other, and code points of the pieces in which a text is looked up by place.
+_BLOCK, _PIECE = 128, 1024
 
 
-def _spans(text: Column, rank: int, kind: Kind) -> Column:
-    """The confirmed spans of one kind as an array of (start, rank, end, value), by start."""
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of longs what ``merge`` makes, from 0, of those before it, and at the end that of all.
+
+    Appending copies an array, so it is done in blocks of ``_BLOCK``, and for the blocks' totals again in blocks.
+    """
+    none = F.array().cast("array<long>")
+
+    def append(xs):
+        start = F.struct(F.lit(0).cast("long").alias("so_far"), none.alias("out"))
+        return F.aggregate(xs, start, lambda s, x: F.struct(merge(s["so_far"], x).alias("so_far"), F.concat(s["out"], F.array(s["so_far"])).alias("out")))
+
+    def blocks(xs):
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / _BLOCK).cast("int") - 1, F.lit(0))), lambda k: append(F.slice(xs, k * _BLOCK + 1, F.lit(_BLOCK))))
+
+    def level(xs, offsets):
+        def joined(parts, before):
+            own = F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p["out"], lambda x: merge(b, x))))
+            return F.concat(own, F.array(merge(F.element_at(before, -1), F.element_at(parts, -1)["so_far"])))
+
+        return _bind(blocks(xs), lambda parts: _bind(F.slice(offsets(F.transform(parts, lambda p: p["so_far"])), F.lit(1), F.size(parts)), lambda before: joined(parts, before)))
+
+    return _bind(values, lambda xs: level(xs, lambda sums: level(sums, lambda top: append(top)["out"])))
+
+
+def _pieces(text: Column) -> Column:
+    """The text cut into pieces of ``_PIECE`` code points, so that a place is found without counting from the start."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points from ``start`` up to ``end`` of a text in pieces; what lies outside the text is left out."""
+    low, high = F.greatest(start, F.lit(0).cast("long")), F.greatest(end, F.lit(0).cast("long"))
+    first = F.floor(low / _PIECE).cast("int")
+    some = F.slice(pieces, first + 1, F.floor(high / _PIECE).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), (low % _PIECE + 1).cast("int"), F.greatest(high - low, F.lit(0).cast("long")).cast("int"))
+
+
+_STEP = "array<struct<m: string, g: long, step: long>>"
+
+
+def _matches(text: Column, kind: Kind) -> Column:
+    """The matches of one kind, each with the length of the gap before it and the step from the end of the last match to its own."""
     gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g).cast("long"))
-    pairs = F.zip_with(matches, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    pairs = F.filter(pairs, lambda p: p["m"].isNotNull())
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast("array<struct<start: long, rank: int, end: long, value: string>>").alias("found"))
-    empty = F.array().cast("array<struct<start: long, rank: int, end: long, value: string>>")
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"), (g + F.length(m)).alias("step")))
+    # the gap after the last match has none
+    return F.when(kind.possible(text), F.filter(pairs, lambda p: p["m"].isNotNull()).cast(_STEP)).otherwise(F.array().cast(_STEP))
 
-    def step(state, p):
-        begin = state["at"] + p["g"]
-        end = begin + F.length(p["m"])
-        here = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), p["m"].alias("value"))
-        return F.struct(end.alias("at"), F.when(kind.valid(p["m"]), F.concat(F.coalesce(state["found"], empty), F.array(here))).otherwise(state["found"]).alias("found"))
 
-    found = F.aggregate(pairs, start, step, lambda s: F.coalesce(s["found"], empty))
-    return F.when(kind.possible(text), found).otherwise(empty)
+def _spans(text: Column, kinds: list[Kind]) -> Column:
+    """The confirmed spans as an array of (start, rank, end, value), by start, then by rank."""
+
+    def placed(found, rank):
+        ends = _scan(F.transform(found, lambda p: p["step"]), lambda a, b: a + b)
+        return F.zip_with(found, F.slice(ends, F.lit(2), F.size(found)), lambda p, end: F.struct((end - p["step"] + p["g"]).alias("start"), rank.alias("rank"), end.alias("end"), p["m"].alias("value")))
+
+    def confirmed(found, kind):
+        return F.filter(found, lambda s: kind.valid(s["value"]))
+
+    every = F.transform(F.array(*[_matches(text, kind) for kind in kinds]), placed)
+    return _bind(every, lambda found: F.array_sort(F.concat(*[confirmed(F.element_at(found, k + 1), kind) for k, kind in enumerate(kinds)])))
 
 
 def find(df: DataFrame, text: str = "text", spans: str = "pii", kinds: list[Kind] = KINDS) -> DataFrame:
     """``df`` with ``spans``: an array of (kind, start, end, value, score), by start, then in the order of ``kinds``.
 
-    Null texts count as empty and, like any text without findings, give an empty array. Row by row, no shuffle, whole texts. A column
-    named ``spans`` is replaced. Spans of different kinds may overlap. The score is the kind's own, 0.1 higher (at most 1)
+    Null texts count as empty and, like any text without findings, give an empty array. Row by row, no shuffle, whole texts, in time
+    that grows with a text and its spans; repeated rows get equal results and an empty table stays empty. A column
+    named ``spans`` is replaced, all others stay. Spans of different kinds may overlap. The score is the kind's own, 0.1 higher (at most 1)
     with a raising word within ``WINDOW`` code points, 0.3 lower with a lowering one; nothing is dropped for its score.
     """
-    held, near = common.fresh(df, "pii_text"), common.fresh(df, "pii_found")
+    held, near = common.fresh(df, "pii_text", spans), common.fresh(df, "pii_found", spans)
     source = df.withColumn(held, common.text_of(text))
     body = F.col(held)
-    found = source.withColumn(near, F.array_sort(F.concat(*[_spans(body, rank, kind) for rank, kind in enumerate(kinds)])))
+    found = source.withColumn(near, _spans(body, kinds))
 
     names = F.array(*[F.lit(k.name) for k in kinds])
 
-    def scored(s):
-        around = F.lower(F.concat(F.substring(body, F.greatest(s["start"] - WINDOW + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(WINDOW)).cast("int")), F.lit(" "), F.substring(body, (s["end"] + 1).cast("int"), F.lit(WINDOW))))
+    def scored(s, pieces):
+        around = F.lower(F.concat(_cut(pieces, s["start"] - WINDOW, s["start"]), F.lit(" "), _cut(pieces, s["end"], s["end"] + WINDOW)))
 
         def score(near_by):
             out = F.lit(0.0)
@@ -115,31 +166,36 @@ def find(df: DataFrame, text: str = "text", spans: str = "pii", kinds: list[Kind
                 out = F.when(s["rank"] == rank, raised - F.when(near_by.rlike(rf"\b(?:{kind.lowers})"), 0.3).otherwise(0.0)).otherwise(out)
             return out
 
-        once = F.element_at(F.transform(F.array(around), score), 1)
-        return F.struct(F.element_at(names, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), once.alias("score"))
+        return F.struct(F.element_at(names, s["rank"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _bind(around, score).alias("score"))
 
-    return found.withColumn(spans, F.transform(F.col(near), scored).cast(_SPAN)).drop(held, near)
+    some = _bind(_pieces(body), lambda pieces: F.transform(F.col(near), lambda s: scored(s, pieces)).cast(_SPAN))
+    return found.withColumn(spans, F.when(F.size(near) > 0, some).otherwise(F.array().cast(_SPAN))).drop(held, near)
 
 
 def redact(df: DataFrame, text: str = "text", spans: str = "pii", out: str = "redacted", least_score: float = 0.5) -> DataFrame:
-    """``df`` with ``out``: the text with each span of at least this score replaced by its kind in angle brackets; of
-    overlapping spans the first stays. Null texts give empty ones."""
-    body = common.text_of(text)
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("done"))
+    """``df`` with ``out``: the text with its spans of at least this score replaced by their kind in angle brackets; spans that
+    overlap are replaced as one, by the kind of the first. Null texts give empty ones. Linear like :func:`find`."""
+
+    def cleaned(pieces, chosen):
+        upto = _scan(F.transform(chosen, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+
+        def text_of(ends):
+            parts = F.zip_with(chosen, F.slice(ends, F.lit(1), F.size(chosen)), lambda s, e: F.when(s["start"] >= e, F.concat(_cut(pieces, e, s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise(F.lit("")))
+            return F.concat(F.array_join(parts, ""), _cut(pieces, F.element_at(ends, -1), F.lit((1 << 31) - 1)))
 
-    def step(s, p):
-        upto = F.substring(body, (s["at"] + 1).cast("int"), (p["start"] - s["at"]).cast("int"))
-        take = (p["start"] >= s["at"]) & (p["score"] >= least_score)
-        return F.when(take, F.struct(p["end"].alias("at"), F.concat(s["done"], upto, F.lit("<"), p["kind"], F.lit(">")).alias("done"))).otherwise(s)
+        return _bind(upto, text_of)
 
-    return df.withColumn(out, F.aggregate(F.col(f"`{spans}`"), state, step, lambda s: F.concat(s["done"], F.substring(body, (s["at"] + 1).cast("int"), F.lit(2147483647)))))
+    chosen = F.filter(F.col(f"`{spans}`"), lambda s: s["score"] >= least_score)
+    return df.withColumn(out, _bind(_pieces(common.text_of(text)), lambda pieces: _bind(chosen, lambda some: cleaned(pieces, some))))
 
 
 def op5_pii(spark, sf_dir):
-    """Spans of personal data in every text of ``documents``."""
+    """Spans of personal data in every text of ``documents``, and the scores of the spans (``kind:start:score``)."""
     docs = common.only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
     found = find(docs).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["kind"].isin([k.name for k in KINDS if k.base]))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda name: F.size(F.filter("pii", lambda s: s["kind"] == name)).cast("long").alias(f"n_{name}")
-    return found.select("doc_id", *[count(n) for n in ("email", "ip", "card", "phone")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    scores = F.array_join(F.transform("pii", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), F.format_number(s["score"], 2))), ",")
+    total = F.size("pii").cast("long")
+    return found.select("doc_id", *[count(n) for n in ("email", "ip", "card", "phone")], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), total.alias("n_spans"), scores.alias("scores"))

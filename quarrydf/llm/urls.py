@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrydf.llm import common
 
-#: Rules beyond this many are refused: the trie is broadcast, so its size has a proven bound.
+#: Rules of one broadcast trie, so its size has a proven bound; more rules are dealt out to several, used one after the other.
 MAX_RULES = 1_000_000
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,11 +50,10 @@ class UrlTrie:
     the rule given first.
     """
 
-    def __init__(self, rules: list[Rule]):
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are broadcast")
+    def __init__(self, rules: list[Rule], first: int = 0):
+        """first: the number of the first rule among all rules, if these are a part."""
         self.root: dict = {}
-        for at, rule in enumerate(rules):
+        for at, rule in enumerate(rules, first):
             node = self.root
             for label in reversed(rule.host.lower().split(".")) if rule.host else ():
                 node = node.setdefault("hosts", {}).setdefault(label, {})
@@ -64,6 +63,9 @@ class UrlTrie:
                 node = node.setdefault("next", {}).setdefault(segment, {})
             size = (len(rule.name), len(rule.host), -at)
             ends = node.setdefault("ends", {})
+            # only the lengths that rules end with are tried on a segment, short ones first
+            if last not in ends:
+                node["lengths"] = sorted({len(last), *node.get("lengths", ())})
             if last not in ends or ends[last][0] < size:
                 ends[last] = (size, rule)
 
@@ -71,7 +73,9 @@ class UrlTrie:
     def _down(node: dict, segments: list[str], best):
         for segment in segments:
             if ends := node.get("ends"):
-                for stop in range(len(segment) + 1):
+                for stop in node["lengths"]:
+                    if stop > len(segment):
+                        break
                     if (hit := ends.get(segment[:stop])) and (best is None or hit[0] > best[0]):
                         best = hit
             node = node.get("next", {}).get(segment)
@@ -80,6 +84,12 @@ class UrlTrie:
         return best
 
     def match(self, host: str, path: str) -> Rule | None:
+        """The rule that wins, None if none fits."""
+        best = self.best(host, path)
+        return best[1] if best else None
+
+    def best(self, host: str, path: str):
+        """The rule that wins, after the numbers by which it does: length, length of the host, and minus its place; None if none fits."""
         segments, best, node = path.split("/"), None, self.root
         if "paths" in node:
             best = self._down(node["paths"], segments, best)
@@ -89,35 +99,46 @@ class UrlTrie:
                 break
             if "paths" in node:
                 best = self._down(node["paths"], segments, best)
-        return best[1] if best else None
+        return best
 
 
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule`` (null where none fits) and ``verdict`` (the rule's, else ``default``).
 
-    Row by row and without a shuffle; columns of those names are replaced. Null urls, urls without ``://`` and empty
-    hosts fit only rules with an empty host. Repeated rows get equal results; an empty table stays empty.
+    Row by row and without a shuffle, in time that grows with a url's length; columns of those names are replaced, all others stay.
+    Null urls, urls without ``://`` and empty hosts fit only rules with an empty host. Urls are judged whole, however long.
+    Repeated rows get equal results; an empty table stays empty. Beyond ``MAX_RULES`` rules each part of them has a trie of its
+    own, and the longest match of all parts wins.
     """
     spark = df.sparkSession
     common.ship(spark)
-    trie = spark.sparkContext.broadcast(UrlTrie(rules))
-
-    def verdicts(urls: pa.Array) -> pa.Array:
-        seen = trie.value
-        hosts, paths, names, said = [], [], [], []
-        for u in urls.to_pylist():
-            host, path = host_and_path(u)
-            rule = seen.match(host, path)
-            hosts.append(host)
-            paths.append(path)
-            names.append(rule.name if rule else None)
-            said.append(rule.verdict if rule else default)
-        return pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in (hosts, paths, names, said)], ["host", "path", "rule", "verdict"])
-
-    run = F.arrow_udf(verdicts, "struct<host: string, path: string, rule: string, verdict: string>")
-    keep = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    held = common.fresh(df, "judged")
-    return df.withColumn(held, run(F.col(f"`{url}`").cast("string"))).select(*keep, f"{held}.*")
+    held, keep = common.fresh(df, "judged"), [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    split = F.arrow_udf(lambda urls: _structs([host_and_path(u) for u in urls.to_pylist()], ["host", "path"], [pa.string()] * 2), "struct<host: string, path: string>")
+
+    def judged(trie):
+        def run(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+            seen, out = trie.value, []
+            for host, path in zip(hosts.to_pylist(), paths.to_pylist()):
+                hit = seen.best(host, path)
+                out.append((*hit[0], hit[1].name, hit[1].verdict) if hit else (None,) * 5)
+            return _structs(out, ["size", "host_size", "order", "rule", "verdict"], [pa.int64()] * 3 + [pa.string()] * 2)
+
+        return F.arrow_udf(run, "struct<size: long, host_size: long, order: long, rule: string, verdict: string>")
+
+    parts = [rules[at : at + MAX_RULES] for at in range(0, max(1, len(rules)), MAX_RULES)]
+    tries = [spark.sparkContext.broadcast(UrlTrie(part, k * MAX_RULES)) for k, part in enumerate(parts)]
+    cut = df.withColumn(held, split(F.col(f"`{url}`").cast("string")))
+    hits = [judged(trie)(F.col(held)["host"], F.col(held)["path"]) for trie in tries]
+    hit = common.fresh(cut, "hit")
+    best = hits[0] if len(hits) == 1 else F.array_max(F.filter(F.array(*hits), lambda h: h["size"].isNotNull()))
+    out = cut.withColumn(hit, best)
+    return out.select(*keep, F.col(held)["host"].alias("host"), F.col(held)["path"].alias("path"), F.col(hit)["rule"].alias("rule"), F.coalesce(F.col(hit)["verdict"], F.lit(default)).alias("verdict"))
+
+
+def _structs(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Array:
+    """Rows as an array of structs."""
+    columns = zip(*rows) if rows else [[] for _ in names]
+    return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
 RULES = [

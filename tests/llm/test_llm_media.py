@@ -52,6 +52,36 @@ def test_bad_files():
         media.unwav(b"nothing")
 
 
+def whole_files(data):
+    """The stored file and its resampled PCM file, sample by sample: an independent decoder."""
+    kind = (7, 6, 17)[zlib.crc32(data) % 3]
+    if kind == 17:
+        wave = [x for i in range(0, len(data), 36) for x in scalar(data[i : i + 36])]
+        form = struct.pack("<HHIIHHHH", 17, 1, 8000, 8000 * 36 // 65, 36, 4, 2, 65)
+    else:
+        wave = []
+        for byte in data:
+            if kind == 7:
+                byte = 255 - byte
+                size = ((byte % 16 * 2 + 33) << (byte // 16 % 8)) - 33
+                wave.append((-4 if byte >= 128 else 4) * size)
+            else:
+                byte ^= 0x55
+                step, low = byte // 16 % 8, byte % 16
+                size = 2 * low + 1 if step == 0 else (2 * low + 33) << (step - 1)
+                wave.append((8 if byte >= 128 else -8) * size)
+        form = struct.pack("<HHIIHHH", kind, 1, 8000, 8000, 1, 8, 0)
+    after = wave[1:] + wave[-1:]
+    twice = [x for a, b in zip(wave, after) for x in (a, (a * 8000 + b * 8000) // 16000)]
+    pcm = struct.pack(f"<{len(twice)}h", *twice)
+
+    def riff(form, data):
+        body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2)
+        return b"RIFF" + struct.pack("<I", len(body)) + body
+
+    return riff(form, data), riff(struct.pack("<HHIIHH", 1, 1, 16000, 32000, 2, 16), pcm)
+
+
 def test_query(spark, tmp_path):
     folder = table(spark, tmp_path, documents=documents(spark, ["media", "payload", "codec", "feature", "pcm"]))
     got = media.op7_media(spark, folder).collect()
@@ -62,6 +92,18 @@ def test_query(spark, tmp_path):
         data = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
         want.append((doc_id, len(raw), len(data), sha(data), zlib.crc32(data[-32:])))
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+    texts = {}
+    for _, text, *_ in ROWS:
+        texts[sha(media.payload(text))] = media.payload(text)
+    for r in got:
+        file, pcm = whole_files(texts[r["payload_sha256"]])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file), sha(file))
+        assert (r["pcm_bytes"], r["pcm_sha256"]) == (len(pcm), sha(pcm))
+        samples = struct.unpack(f"<{(len(pcm) - 44) // 2}h", pcm[44:])
+        peak, square = max(map(abs, samples)), sum(x * x for x in samples) // len(samples)
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(samples, samples[1:]))
+        n, top, root, cross, _ = map(int, r["feature"].split(":")[1:])
+        assert (n, top, cross) == (len(samples), peak, crossings) and root * root <= square + 1 and (root + 1) ** 2 > square - 1
     by_payload = {}
     for r in got:
         assert by_payload.setdefault(r["payload_sha256"], tuple(r)[2:]) == tuple(r)[2:]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from cases import ROWS, documents, table
 from pyspark.sql import functions as F
@@ -81,6 +82,39 @@ def test_very_long_texts_take_linear_time(spark):
     assert got[3] == 1 and got[0] == got[2] == 0
 
 
+def seconds(spark, text):
+    """The least time of three runs."""
+    df = pii.redact(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).select(F.size("pii"), F.length("redacted"))
+    df.collect()
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        row = df.collect()[0]
+        took.append(time.perf_counter() - began)
+    return min(took), row[0]
+
+
+def test_texts_full_of_spans_take_linear_time(spark):
+    text = lambda n: " ".join(f"mail u{i}@example.org or +1 555 123 {i % 10_000:04d};" for i in range(n))
+    (short, few), (long, many) = seconds(spark, text(16_000)), seconds(spark, text(32_000))
+    assert (few, many) == (32_000, 64_000)
+    assert long < 3 * short + 0.5
+
+
+def test_places_beyond_blocks_and_pieces(spark):
+    """Spans on both sides of the edges of blocks (matches) and pieces (code points)."""
+    rows = [(i, "é😀" * (i % 1100) + " ".join(f"a{k}@b.co" for k in range(i % 400))) for i in (0, 1, 127, 128, 129, 255, 256, 399, 511, 512, 513, 1023, 1024, 1099)]
+    got = {r["doc_id"]: r for r in pii.redact(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).select("doc_id", spans(F.col("pii")).alias("s"), "redacted").collect()}
+    for i, text in rows:
+        assert got[i]["s"] == ",".join(brute(text))
+        assert got[i]["redacted"] == re.sub(BASE[0][1], "<email>", text)
+
+
+def test_overlapping_spans_are_redacted_as_one(spark):
+    got = pii.redact(pii.find(spark.createDataFrame([(1, "x +3782 822463 10005 y")], "doc_id long, text string"))).first()
+    assert [s["kind"] for s in got["pii"]] == ["phone", "card"] and got["redacted"] == "x <phone> y"
+
+
 def test_accounts_context_and_redaction(spark):
     good, bad = iban("DE", "370400440532013000"), "DE00370400440532013000"
     rows = [(1, f"IBAN {good} and {bad}"), (2, "card 4111 1111 1111 1111"), (3, "order isbn 4111 1111 1111 1111"), (4, "mail a@b.co, 10.0.0.1!")]
@@ -99,7 +133,10 @@ def test_query(spark, tmp_path):
         b = brute(text)
         counts = [sum(x.startswith(k) for x in b) for k, _ in BASE]
         want.append((doc_id, *counts, hashlib.sha256(",".join(b).encode()).hexdigest(), ",".join(b)))
-    assert sorted(map(tuple, pii.op5_pii(spark, folder).collect()), key=str) == sorted(want, key=str)
+    got = pii.op5_pii(spark, folder)
+    assert sorted((tuple(r)[:7] for r in got.collect()), key=str) == sorted(want, key=str)
+    for r in got.collect():
+        assert r["n_spans"] == len([x for x in r["spans"].split(",") if x]) == len([x for x in r["scores"].split(",") if x])
 
 
 def test_native_plan_and_empty_table(spark, sf):

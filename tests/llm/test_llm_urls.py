@@ -1,6 +1,8 @@
 import random
+import time
 
 from oracle import same
+from pyspark.sql import functions as F
 
 from quarrydf.llm import urls
 from quarrydf.llm.urls import Rule
@@ -48,3 +50,30 @@ def test_trie_against_brute_force():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(df, urls.RULES).count() == 0
+
+
+def test_long_urls_take_linear_time():
+    trie = urls.UrlTrie(urls.RULES + [Rule("block", "com", "/aaa")])
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert trie.match("a.com", "/" + "a" * n).path == "/aaa" and trie.match("a.com", "/x" * n).path == "/"
+        return time.perf_counter() - began
+
+    short, long = (min(seconds(n) for _ in range(5)) for n in (200_000, 400_000))
+    assert long < 3 * short + 0.05
+
+
+def test_more_rules_than_one_trie_holds(spark, monkeypatch):
+    rng = random.Random(3)
+    rules = [Rule(rng.choice(["allow", "block"]), ".".join(rng.choice("ab") for _ in range(rng.randint(1, 3))), rng.choice(["/", "/a", "/a/b"])) for _ in range(11)]
+    rows = [(i, f"x://{'.'.join(rng.choice('abc') for _ in range(rng.randint(1, 4)))}{rng.choice(['', '/', '/ab/', '/a/bc'])}") for i in range(200)] + [(200, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("judged", F.lit("mine")).withColumn("hit", F.lit("mine"))
+    whole = sorted(map(tuple, urls.judge(df, rules).collect()))
+    monkeypatch.setattr(urls, "MAX_RULES", 4)
+    assert sorted(map(tuple, urls.judge(df, rules).collect())) == whole
+    monkeypatch.undo()
+    for i, u in rows[:-1]:
+        rule = brute(rules, *urls.host_and_path(u))
+        assert whole[i][6] == (rule.name if rule else None)
+    assert urls.judge(df, []).filter("verdict <> 'allow'").count() == 0
