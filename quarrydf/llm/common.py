@@ -46,7 +46,8 @@ class Scratch:
     def _delete(self, path: str) -> None:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        self.paths.discard(path)
+        for around in (self, *_open.get()):
+            around.paths.discard(path)
 
     def release(self, *keep: DataFrame) -> None:
         """Delete all of them but those of ``keep``."""
@@ -88,8 +89,7 @@ def discard(df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that no later plan reads."""
     path = getattr(df, "_quarrydf_path", None)
     if path:
-        for around in (*_open.get(), Scratch(df.sparkSession)):
-            around._delete(path)
+        Scratch(df.sparkSession)._delete(path)
 
 
 #: Texts can be long, so batches for Python workers are bounded by bytes. Spark's own bound is 64 MB, which a worker and its
