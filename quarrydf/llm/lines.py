@@ -163,7 +163,8 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_lines:
     body = common.text_of(text)
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), body.alias("body"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(body).alias("a"))
     same = keyed["id"].eqNullSafe(gone["id"]) & (keyed["a"] == gone["a"])
-    marked = keyed.join(gone, same, "left").select("row", "body", "copy", "spans", _lines(F.col("body")).alias("lines"))
+    # a merge join whatever the sizes: how much there is to delete grows with the input, so it is never broadcast
+    marked = keyed.join(gone.hint("merge"), same, "left").select("row", "body", "copy", "spans", _lines(F.col("body")).alias("lines"))
     # of a later copy of a whole text goes every run that is long enough
     words = F.when(F.col("copy"), F.transform("lines", lambda s: F.regexp_count(s, F.lit(common.WORD)))).otherwise(F.array().cast("array<int>"))
     marked = marked.select("row", "body", "spans", "lines", words.alias("words")).select("row", "body", "spans", "lines", _needed(F.col("words"), min_lines, min_words).alias("need"))
