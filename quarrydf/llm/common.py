@@ -166,3 +166,16 @@ def fresh(df: DataFrame, base: str, *also: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+#: A key that more than this part of all rows have is heavy: there are at most as many heavy keys, so they may be broadcast.
+HEAVY = 4096
+
+
+def attach(rows: DataFrame, table: DataFrame, key: list[str], total: int, count: str = "n") -> DataFrame:
+    """The inner join of ``rows`` with a table of distinct keys that ``count`` of at most ``total`` rows have. Heavy keys, at most ``HEAVY``
+    of them, are broadcast; of the others none has more than that part of all rows, so no task gets a hot key. Both sides are read twice."""
+    heavy = F.col(count) > total / HEAVY
+    met = rows.join(F.broadcast(table.filter(heavy)), key, "left")
+    rest = met.filter(F.col(count).isNull()).select(*rows.columns).join(table.filter(~heavy), key)
+    return met.filter(F.col(count).isNotNull()).unionByName(rest)

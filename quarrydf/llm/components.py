@@ -5,38 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrydf.llm.common import discard, materialize
+from quarrydf.llm.common import attach, discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node``, ``root``: for every node of ``links`` (long columns ``u`` and ``v``) the smallest node that it reaches.
 
     Self-links and repeated links do no harm; nulls are dropped; an empty table gives an empty one. Each round is a few
     joins and partial aggregates on node keys, written to the shared folder, so a lost executor repeats one round at
-    most. A node with very many links is one row of an aggregate, and a skewed side of a join that Spark may split. The number of
-    rounds grows with the logarithm of the longest chain.
+    most. A node with very many links is one row of an aggregate, which its links meet by broadcast. The number of
+    rounds grows with the logarithm of the longest chain; rounds end when nothing changes.
     """
     ordered = links.filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = materialize(ordered.distinct(), "links")
     before = _state(edges)
-    for _ in range(max_rounds):
+    while True:
         # large star: the larger neighbours of a node are linked to the smallest node around it
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = materialize(attach(both, least, ["u"], 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
         # small star: a node and its smaller neighbours are linked to the smallest of these
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = attach(large, lowest, ["u"], 2 * before[0]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         after = materialize(small.distinct(), "links")
         now = _state(after)
         discard(edges)
+        discard(large)
         edges = after
         if now == before:
             roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -22,8 +22,6 @@ from quarrydf.llm import common
 
 #: Suffixes in one range of the array while ranks are counted.
 RANGE = 1 << 16
-#: A rank that more than this part of all suffixes share is heavy: there are at most as many, so they may be broadcast.
-HEAVY = 4096
 #: A run of fewer lines than asked for is also deleted if it holds this many words.
 MIN_WORDS = 51
 
@@ -76,22 +74,13 @@ def _numbered(groups: DataFrame, key: list[str], spot: Column) -> DataFrame:
     return counted.join(totals, "range").withColumn("r", (F.col("ahead") + F.col("before")).cast("long")).drop("range", "before", "ahead")
 
 
-def _attach(rows: DataFrame, table: DataFrame, key: list[str], total: int) -> DataFrame:
-    """The inner join of ``rows`` with a table of distinct keys that ``n`` of at most ``total`` rows have. Heavy keys, at most ``HEAVY``
-    of them, are broadcast; of the others none has more than that part of all rows."""
-    heavy = F.col("n") > total / HEAVY
-    met = rows.join(F.broadcast(table.filter(heavy)), key, "left")
-    rest = met.filter(F.col("n").isNull()).select(*rows.columns).join(table.filter(~heavy), key)
-    return met.filter(F.col("n").isNotNull()).unionByName(rest)
-
-
 def _level(rows: DataFrame, key: list[str], spot: Column, total: int, name: str) -> DataFrame:
     """Suffixes (``no_id``, ``id``, ``a``, ``at``, ``need`` and the key) that share their key with others: with their rank ``r``, the number
     ``n`` that share it, and whether an earlier one does (``later``)."""
     place = F.struct(_place(F.col("no_id"), F.col("id"), F.col("a")).alias("doc"), F.col("at"))
     groups = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     ranks = common.materialize(_numbered(groups, key, spot), f"{name}-ranks")
-    met = _attach(rows, ranks, key, total)
+    met = common.attach(rows, ranks, key, total)
     return common.materialize(met.select("no_id", "id", "a", "at", "need", "r", "n", (place != F.col("first")).alias("later")), name)
 
 
@@ -138,7 +127,7 @@ def _deletions(df: DataFrame, text: str, doc_id: str, min_lines: int, min_words:
             spans = found if spans is None else spans.unionByName(found)
     gone = spans.groupBy("id", "a").agg(F.collect_set("span").alias("spans"))
     several = texts.filter(F.struct("no_id", "id") != F.col("last")).select("a", "b", "n", F.col("no_id").alias("first_no"), F.col("id").alias("first_id"))
-    others = _attach(read.select("id", "a", "b"), several, ["a", "b"], size[1] or 0).filter(~F.col("id").eqNullSafe(F.col("first_id")))
+    others = common.attach(read.select("id", "a", "b"), several, ["a", "b"], size[1] or 0).filter(~F.col("id").eqNullSafe(F.col("first_id")))
     copies = others.select("id", "a").distinct().select("id", "a", F.lit(True).alias("copy"), F.lit(None).cast("array<struct<at: int, k: int>>").alias("spans"))
     return common.materialize(gone.select("id", "a", F.lit(False).alias("copy"), "spans").unionByName(copies), "deletions")
 

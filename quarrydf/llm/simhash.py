@@ -1,18 +1,21 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-A fingerprint of B bytes that differs from another in at most k bits shares at least B - k bytes with it at the same
-positions. Every fingerprint is posted under combinations of positional bytes, chosen so that any two fingerprints with
-that many bytes in common meet in a posting list. Where they meet, the shared positional bytes of the pair are tallied, pairs below the
-guaranteed minimum are dropped, and the rest are verified by their differing bits.
-
-Equal fingerprints are one entry. From a long list only a minimum spanning forest of its links is kept, which
-connects what all its links would connect; lists beyond a fixed size are dealt out as pairs of blocks, whose forests together
+A fingerprint of 8 bytes that differs from another in at most k bits shares at least 8 - k bytes with it at the same
+positions. The index has a posting list for every combination of ``width`` positions and their bytes; two fingerprints with m bytes
+in common meet in C(m, width) lists. How often each pair meets is tallied over all lists, pairs below the
+guaranteed minimum C(8 - k, width) are dropped, and the rest are verified by their differing bits. (Lists of single bytes, ``width`` 1, each hold a
+256th of all fingerprints, and so do not scale; the query takes 3.)
+
+Equal fingerprints are one entry. A list beyond a fixed length does not write out its pairs: the shared bytes of its pairs are tallied where they
+meet, pairs below the minimum are dropped, the rest verified, and a minimum spanning forest of the links is kept, which
+connects what all of them would connect; lists beyond a further length are dealt out as pairs of blocks, whose forests together
 hold one of the whole list. So no list is bound to one task and no group of copies is written out as all its pairs.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from quarrydf.llm.components import components
 
 #: Entries of a posting list that one task takes at once; longer lists are dealt out as pairs of blocks of half that.
 LIST = 8192
-#: Lists up to this long give all their links, longer ones a spanning forest.
+#: Lists up to this long give their pairs to the tally over all lists; in longer ones pairs are tallied and verified in place.
 SHORT = 12
 #: Hashes whose bits are counted at once.
 _HASHES = 1 << 16
@@ -51,35 +54,32 @@ def shingles(text: str, n: int) -> list[bytes]:
     return [b" ".join(x) for x in zip(*[words[i:] for i in range(n)])]
 
 
-def fingerprint(text: str, n: int = 3, lanes: int = 1, seed: int = 42) -> bytes:
-    """``lanes`` times 64 bits, each set if it is set in over half of the shingles' hashes; all clear without words."""
+def fingerprint(text: str, n: int = 3, seed: int = 42) -> bytes:
+    """64 bits, each set if it is set in over half of the shingles' hashes; all clear without words."""
     from xxhash import xxh64_intdigest
 
     parts = shingles(text, n)
     if not parts:
-        return bytes(8 * lanes)
+        return bytes(8)
     hashes = np.array([xxh64_intdigest(s, seed) for s in parts], np.uint64)
-    total = np.zeros(64 * lanes, np.int64)
+    total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _HASHES):
-        some = hashes[at : at + _HASHES]
-        for lane in range(lanes):
-            bits = np.unpackbits(_mix(some, lane).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            total[64 * lane : 64 * lane + 64] += bits.sum(0, dtype=np.int64)
+        bits = np.unpackbits(hashes[at : at + _HASHES].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total += bits.sum(0, dtype=np.int64)
     return np.packbits(total * 2 > len(hashes)).tobytes()
 
 
-def with_fingerprints(df: DataFrame, text: str = "text", n: int = 3, lanes: int = 1, fp: str = "fp", node: str = "node") -> DataFrame:
-    """``df`` with ``fp`` (binary, 8 bytes a lane) and ``node`` (long): the fingerprint itself for one lane, else a hash of it.
+def with_fingerprints(df: DataFrame, text: str = "text", n: int = 3, fp: str = "fp", node: str = "node") -> DataFrame:
+    """``df`` with ``fp`` (binary, 8 bytes) and ``node`` (long): the fingerprint as a signed number.
 
-    Null texts count as empty: the fingerprint is zero. Whole texts of any length; columns of those names are replaced.
+    Null texts count as empty: the fingerprint is zero. Whole texts of any length; repeated rows get equal results, an empty table stays empty;
+    columns of those names are replaced, all others stay.
     """
     common.ship(df.sparkSession)
 
     def run(texts: pa.Array) -> pa.Array:
-        from xxhash import xxh64_digest
-
-        prints = [fingerprint(t.as_py() or "", n, lanes) for t in texts]
-        nodes = np.frombuffer(b"".join(prints if lanes == 1 else [xxh64_digest(p) for p in prints]), ">i8").astype(np.int64)
+        prints = [fingerprint(t.as_py() or "", n) for t in texts]
+        nodes = np.frombuffer(b"".join(prints), ">i8").astype(np.int64)
         return pa.StructArray.from_arrays([pa.array(prints, pa.binary()), pa.array(nodes)], ["fp", "node"])
 
     held = common.fresh(df, "printed")
@@ -88,30 +88,18 @@ def with_fingerprints(df: DataFrame, text: str = "text", n: int = 3, lanes: int
     return printed.select(*keep, F.col(f"{held}.fp").alias(fp), F.col(f"{held}.node").alias(node))
 
 
-def posting_sets(positions: int, least: int, width: int) -> list[tuple[int, ...]]:
-    """Combinations of ``width`` positions of which any ``least`` of the positions hold at least one.
-
-    The positions are cut into as many groups as still put ``width`` of any ``least`` positions into one group; all combinations
-    inside the groups are taken.
-    """
-    if not 1 <= width <= least <= positions:
-        raise ValueError("needs 1 <= width <= least <= positions")
-    groups = positions if width == 1 else min((least - 1) // (width - 1), positions // width)
-    if width == 1:
-        return [(p,) for p in range(positions - least + 1)]
-    cuts = np.array_split(np.arange(positions), groups)
-    return [tuple(int(p) for p in c) for g in cuts for c in combinations(g, width)]
-
-
-def _forest(prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """A minimum spanning forest of the links of at most ``limit`` differing bits (Prim's method, one row at a time)."""
+def _forest(prints: np.ndarray, limit: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the links of at least ``least`` shared positional bytes and at most ``limit`` differing bits (Prim's
+    method, one row at a time)."""
     n = len(prints)
     far = 1 << 20
     best, parent, inside = np.full(n, far, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
     at, a, b = 0, [], []
     for _ in range(n - 1):
         inside[at] = True
-        bits = np.bitwise_count(prints ^ prints[at]).sum(1, dtype=np.int64)
+        apart = prints ^ prints[at]
+        shared = (apart.view(np.uint8).reshape(n, 8) == 0).sum(1)
+        bits = np.where(shared >= least, np.bitwise_count(apart).astype(np.int64), far)
         closer = (bits < best) & ~inside
         best[closer], parent[closer] = bits[closer], at
         best[at] = far + 1
@@ -122,90 +110,84 @@ def _forest(prints: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _links(group: np.ndarray, nodes: np.ndarray, prints: np.ndarray, limit: int, least: int):
-    """Links inside runs of equal ``group``: pairs of row numbers. prints: uint64, one column a lane."""
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[starts, len(group)])
-    size = np.repeat(sizes, sizes)
-    short = size <= SHORT
-    for d in range(1, min(SHORT, int(sizes.max())) if len(sizes) else 0):
-        i = np.flatnonzero(short[:-d] & (group[:-d] == group[d:]))
-        if len(i):
-            apart = prints[i] ^ prints[i + d]
-            # the tally of shared positional bytes, then the differing bits
-            same = (apart.view(np.uint8).reshape(len(i), -1) == 0).sum(1)
-            ok = (same >= least) & (np.bitwise_count(apart).sum(1) <= limit)
-            yield i[ok], i[ok] + d
-    for s, k in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
-        a, b = _forest(prints[s : s + k], limit)
-        yield a + s, b + s
-
-
-def links(entries: DataFrame, sets: list[tuple[int, ...]], limit: int, least: int, lanes: int = 1) -> DataFrame:
+def links(entries: DataFrame, limit: int, width: int = 3) -> DataFrame:
     """``u``, ``v`` (nodes): links of at most ``limit`` differing bits that connect what all such links connect.
 
-    entries: distinct ``node`` and ``fp`` (the first ``lanes`` lanes are compared); read more than once, so it should be a written table. With
-    ``sets`` from :func:`posting_sets` no link is missed.
+    entries: distinct ``node``; read more than once, so it should be a written table. No link is missed: two fingerprints that differ in
+    ``limit`` bits meet in C(8 - limit, width) lists; if any of these is long, that list's forest connects them, else the tally finds them.
     """
-    width = max(map(len, sets))
-    positions = np.array(sets)
-    half = LIST // 2
+    least = 8 - limit
+    if not 1 <= width <= least:
+        raise ValueError("needs 1 <= width <= 8 - limit")
+    meets, half = comb(least, width), LIST // 2
+    sets = list(combinations(range(8), width))
+    if len(sets) << 8 * width >= 1 << 63:
+        raise ValueError("posting keys must fit a long")
 
     def post(batches):
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            cut = [row.tobytes() for row in np.ascontiguousarray(raw[:, : 8 * lanes])]
-            for k, chosen in enumerate(positions):
-                key = np.full(batch.num_rows, k, np.int64)
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            raw = nodes.astype(">i8").view(np.uint8).reshape(-1, 8)
+            for k, chosen in enumerate(sets):
+                key = np.full(len(nodes), k, np.int64)
                 for p in chosen:
                     key = key << 8 | raw[:, p]
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), pa.array(cut, pa.binary())], ["key", "node", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], ["key", "node"])
+
+    def met(group, nodes):
+        """Pairs inside runs of equal ``group``, and by how many meetings each counts."""
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        sizes = np.diff(np.r_[starts, len(group)])
+        short = np.repeat(sizes, sizes) <= SHORT
+        for d in range(1, min(SHORT, int(sizes.max()))):
+            i = np.flatnonzero(short[:-d] & (group[:-d] == group[d:]))
+            yield nodes[i], nodes[i + d], 1
+        for s, k in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
+            some = nodes[s : s + k]
+            a, b = _forest(some.view(np.uint64), limit, least)
+            yield some[a], some[b], meets
 
     def meet(batches):
-        rest = None
-        for batch in batches:
-            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            prints = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            got.append(prints)
-            if rest is not None:
-                got = [np.concatenate([a, b]) for a, b in zip(rest, got)]
-            change = np.r_[True, (got[0][1:] != got[0][:-1]) | (got[1][1:] != got[1][:-1]) | (got[2][1:] != got[2][:-1])] if len(got[0]) else np.zeros(0, bool)
-            last = int(np.flatnonzero(change)[-1]) if len(change) else 0
-            yield from found([x[:last] for x in got], change[:last])
-            rest = [x[last:] for x in got]
-        if rest is not None and len(rest[0]):
-            yield from found(rest, np.r_[True, np.zeros(len(rest[0]) - 1, bool)])
+        for got, change in runs_of(batches):
+            for a, b, count in met(np.cumsum(change), np.ascontiguousarray(got[3])):
+                if len(a):
+                    columns = [np.maximum(a, b), np.minimum(a, b), np.full(len(a), count, np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "n"])
 
-    def found(got, change):
-        if len(got[0]) < 2:
-            return
-        nodes, prints = got[3], np.ascontiguousarray(got[4]).view(np.uint64)
-        pairs = [np.stack([nodes[i], nodes[j]], 1) for i, j in _links(np.cumsum(change), nodes, prints, limit, least)]
-        if pairs and len(both := np.concatenate(pairs)):
-            both = np.unique(np.sort(both, 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 1].copy()), pa.array(both[:, 0].copy())], ["u", "v"])
-
-    if len(sets) >= 1 << 15 or width > 5:
-        raise ValueError("posting keys must fit a long")
-    posts = entries.select("node", "fp").mapInArrow(post, "key long, node long, fp binary")
+    posts = entries.select("node").mapInArrow(post, "key long, node long")
     long = posts.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST)
     long = common.materialize(long, "long-lists")
+    dealt = posts.join(long, "key", "left").select("key", "node", F.explode(_blocks(half)).alias("b")).select("key", "b.i", "b.j", "node")
+    pairs = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u long, v long, n long")
+    tallied = pairs.groupBy("u", "v").agg(F.sum("n").alias("n")).filter(F.col("n") >= meets)
+    return tallied.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= limit).select("u", "v")
+
+
+def _blocks(half: int):
+    """The pairs of blocks (``i``, ``j``) that a row of a list of ``n`` entries belongs to; one pair for a list of usual length (null ``n``)."""
     blocks = F.ceil(F.col("n") / half)
     mine = F.pmod(F.xxhash64("node"), blocks)
-    pairs = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")))
-    )
-    dealt = posts.join(long, "key", "left").select("key", "node", "fp", F.explode(pairs).alias("b")).select("key", "b.i", "b.j", "node", "fp")
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u long, v long")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    several = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")))
+    return F.when(F.coalesce(F.col("n"), F.lit(0)) <= LIST, whole).otherwise(several)
 
 
-def groups(prints: DataFrame, doc_id: str, sets: list[tuple[int, ...]], limit: int, least: int, lanes: int = 1) -> DataFrame:
-    """``node``, ``component_id`` for every distinct node of ``prints`` (``doc_id``, ``fp``, ``node``): the smallest id that links reach."""
-    entries = common.materialize(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.min(F.col(f"`{doc_id}`")).alias("least_id")), "entries")
-    roots = common.materialize(components(links(entries, sets, limit, least, lanes)), "roots")
-    rooted = entries.select("node", "least_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
-    smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(smallest, "root").select("node", "component_id")
+def runs_of(batches):
+    """Sorted batches as columns that end with whole lists (equal first three columns), and where a list starts."""
+    rest = None
+    for batch in batches:
+        got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if rest is not None:
+            got = [np.concatenate([a, b]) for a, b in zip(rest, got)]
+        if not len(got[0]):
+            continue
+        change = np.r_[True, (got[0][1:] != got[0][:-1]) | (got[1][1:] != got[1][:-1]) | (got[2][1:] != got[2][:-1])]
+        last = int(np.flatnonzero(change)[-1])
+        if last:
+            yield [x[:last] for x in got], change[:last]
+        rest = [x[last:] for x in got]
+    if rest is not None:
+        yield rest, np.r_[True, np.zeros(len(rest[0]) - 1, bool)]
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 3, limit: int = 3, width: int = 3) -> DataFrame:
@@ -213,15 +195,24 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n
 
     Exact: no link is missed. ``component_id`` is the smallest ``doc_id`` of the connected group (null if all its ids are null). Texts
     without words, null ones included, have fingerprint zero and link like any other. Repeated rows stay, each with its
-    group's id. Whole texts of any length; an empty table gives an empty one.
+    group's id. Whole texts of any length; an empty table gives an empty one; other columns of ``df`` are not read. The result is one
+    written table in the shared folder.
     """
-    least = 8 - limit
-    if not 1 <= least <= 8:
+    if not 0 <= limit <= 7:
         raise ValueError("limit must be 0 to 7")
-    printed = with_fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), n=n)
-    prints = common.materialize(printed.select("doc_id", "fp", "node"), "prints")
-    named = groups(prints, "doc_id", posting_sets(8, least, min(width, least)), limit, least)
-    return prints.join(named, "node", "left").select("doc_id", "fp", "node", "component_id")
+    with common.scratch(df.sparkSession) as own:
+        printed = with_fingerprints(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), n=n)
+        prints = common.materialize(printed.select("doc_id", "fp", "node"), "prints")
+        entries = common.materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "entries")
+        roots = common.materialize(components(links(entries, limit, min(width, 8 - limit))), "roots")
+        rooted = entries.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"), "least_id")
+        smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("nodes"))
+        named = common.attach(rooted, smallest, ["root"], entries.count(), "nodes").select("node", "n", "component_id")
+        named = common.materialize(named, "named")
+        out = common.attach(prints, named, ["node"], prints.count()).select("doc_id", "fp", "node", "component_id")
+        out = common.materialize(out, "near-duplicates")
+        own.keep(out)
+    return out
 
 
 def shingle_set(text: str, n: int = 5) -> np.ndarray:
@@ -276,28 +267,9 @@ def candidates(posts: DataFrame, similarity: float) -> DataFrame:
 
     Lists are dealt out as pairs of blocks where they exceed ``LIST``.
     """
-    half = LIST // 2
-    blocks = F.ceil(F.col("n") / half)
-    mine = F.pmod(F.xxhash64("node"), blocks)
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
-    dealt = F.when(F.col("n") <= LIST, whole).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda other: F.struct(F.least(mine, other).alias("i"), F.greatest(mine, other).alias("j")))
-    )
-
     def meet(batches):
-        rest = None
-        for batch in batches:
-            got = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            if rest is not None:
-                got = [np.concatenate([a, b]) for a, b in zip(rest, got)]
-            if not len(got[0]):
-                continue
-            change = np.r_[True, (got[0][1:] != got[0][:-1]) | (got[1][1:] != got[1][:-1]) | (got[2][1:] != got[2][:-1])]
-            last = int(np.flatnonzero(change)[-1])
-            yield from found([x[:last] for x in got], change[:last])
-            rest = [x[last:] for x in got]
-        if rest is not None:
-            yield from found(rest, np.r_[True, np.zeros(len(rest[0]) - 1, bool)])
+        for got, change in runs_of(batches):
+            yield from found(got, change)
 
     def found(got, change):
         if len(got[0]) < 2:
@@ -318,7 +290,7 @@ def candidates(posts: DataFrame, similarity: float) -> DataFrame:
         if held:
             yield out()
 
-    spread = posts.select("key", "node", "size", "at", "root", F.explode(dealt).alias("b")).select("key", "b.i", "b.j", "node", "size", "at", "root")
+    spread = posts.select("key", "node", "size", "at", "root", F.explode(_blocks(LIST // 2)).alias("b")).select("key", "b.i", "b.j", "node", "size", "at", "root")
     return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u long, v long").distinct()
 
 
@@ -348,8 +320,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             out.append(same >= least_overlap(len(x), len(y), similarity))
         return pa.array(out, pa.bool_())
 
-    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("elements").alias("__a")), "u").join(sets.select(F.col("node").alias("v"), F.col("elements").alias("__b")), "v")
-    return met.withColumn("__ok", F.arrow_udf(run, "boolean")("__a", "__b")).filter("__ok").select("u", "v")
+    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("elements").alias("of_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("elements").alias("of_v")), "v")
+    return met.withColumn("ok", F.arrow_udf(run, "boolean")("of_u", "of_v")).filter("ok").select("u", "v")
 
 
 def common_shingles(df: DataFrame, text: str, n: int, docs: int = 4000, most: int = 1 << 17) -> np.ndarray:
@@ -370,11 +342,27 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     connect. Sets of such a similarity share an element of their prefixes (in one order of all shingles, rare ones first), so all pairs that meet in a
     prefix, and are not connected yet, are verified on the whole sets. To spare large groups their pairs, likely links are verified
     first. Texts without words, null ones included, are one
-    group. Rows that repeat id and text count as copies: one stays. The columns are those of ``df``.
+    group. Rows that repeat id and text count as copies: one stays. An empty table gives an empty one. The columns are those of ``df``, whatever their
+    names. One table, of the rows that stay, is left in the shared folder.
     """
     common.ship(df.sparkSession)
-    keyed = df.select(*[F.col(f"`{c}`") for c in df.columns]).withColumn("__digest", F.xxhash64(common.text_of(text)))
-    plain = keyed.select(F.col(f"`{doc_id}`").alias("id"), F.col("__digest").alias("digest"), F.col(f"`{text}`").cast("string").alias("text"))
+    digest = F.xxhash64(common.text_of(text))
+    plain = df.select(F.col(f"`{doc_id}`").alias("id"), digest.alias("digest"), F.col(f"`{text}`").cast("string").alias("text"))
+    with common.scratch(df.sparkSession) as own:
+        kept = _first_of_each(plain, n, similarity)
+        own.keep(kept)
+    # plain keys, the same in join and window, so that the texts are dealt out once
+    names = ["key", "no_key", "digest"]
+    key = lambda c: [F.coalesce(c.cast("string"), F.lit("")), c.isNull()]
+    mine = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(x) for c, x in zip([*key(F.col(f"`{doc_id}`")), digest], names)])
+    wanted = kept.select(*[c.alias(x) for c, x in zip([*key(F.col("id")), F.col("digest")], names)])
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))
+    whole = mine.join(wanted.hint("merge"), names, "left_semi").withColumn("copy", rank).filter("copy = 1")
+    return whole.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
+
+
+def _first_of_each(plain: DataFrame, n: int, similarity: float) -> DataFrame:
+    """``id`` and ``digest`` of the row that stays of each group; see :func:`one_of_each`. plain: ``id``, ``digest``, ``text``."""
     last = common_shingles(plain, "text", n)
 
     def describe(texts: pa.Array) -> pa.Array:
@@ -396,7 +384,7 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     described = plain.withColumn("d", F.arrow_udf(describe, "struct<node: long, size: int, mins: array<long>, first: array<long>>")("text"))
     prints = common.materialize(described.select("id", "digest", "d.*"), "prints")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
-    one = F.first(F.struct("digest", "size", "mins", F.col("first").alias("keys"))).alias("one")
+    one = F.first(F.struct("size", "mins", F.col("first").alias("keys"))).alias("one")
     entries = common.materialize(prints.groupBy("node").agg(one, F.min(place).alias("first")).select("node", "one.*", "first"), "entries")
     common.discard(prints)
     posts = entries.select("node", "size", F.posexplode("keys").alias("at", "key"))
@@ -404,13 +392,14 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     lists = common.materialize(posts.join(shared, "key"), "lists")
     met = lists.select("node").distinct().join(entries.select("node", "mins"), "node")
     near = common.materialize(chains(met), "likely-pairs")
-    firsts = common.materialize(entries.select("node", "digest", "first"), "firsts")
+    firsts = common.materialize(entries.select("node", "first"), "firsts")
     common.discard(entries)
     common.discard(shared)
 
     def check(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts.select("node", "digest"), "node")
-        texts = plain.join(ends, "digest").groupBy("node").agg(F.first("text").alias("text"))
+        # one row stands for all copies of its set, so a text that a third of the rows hold is fetched once
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts, "node").select("node", F.col("first.id").alias("end_id"), F.col("first.digest").alias("end_digest"))
+        texts = plain.join(ends, (F.col("digest") == F.col("end_digest")) & F.col("id").eqNullSafe(F.col("end_id"))).groupBy("node").agg(F.first("text").alias("text"))
         sets = common.materialize(texts.select("node", F.arrow_udf(elements, "binary")("text").alias("elements")), "sets")
         out = common.materialize(verified(pairs, sets, similarity), "verified")
         common.discard(sets)
@@ -423,15 +412,8 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     common.discard(lists)
     found = likely.unionByName(check(open_pairs))
     roots = common.materialize(components(found), "roots")
-    rooted = firsts.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    # plain keys, the same in join and window, so that the texts are dealt out once
-    key = lambda c: [F.coalesce(c.cast("string"), F.lit("")), c.isNull()]
-    names = ["__key", "__no_key", "__digest"]
-    mine = keyed.select("*", *[c.alias(n) for c, n in zip(key(F.col(f"`{doc_id}`")), names)])
-    wanted = kept.select(*[c.alias(n) for c, n in zip([*key(F.col("id")), F.col("digest")], names)])
-    rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))
-    return mine.join(wanted, names, "left_semi").withColumn("__copy", rank).filter("__copy = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    rooted = firsts.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    return common.materialize(rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.digest"), "first-of-each")
 
 
 def op4_simhash(spark, sf_dir):

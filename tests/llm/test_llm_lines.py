@@ -32,7 +32,7 @@ def test_query_matches_sql(spark, sf):
 @pytest.mark.parametrize("m,words", [(1, None), (2, 2), (3, 5), (4, None), (5, 6), (7, None), (3, None)])
 def test_against_brute_force(spark, monkeypatch, m, words):
     monkeypatch.setattr(lines, "RANGE", 16)  # many ranges of the suffix array
-    monkeypatch.setattr(lines, "HEAVY", 50)  # both sides of the join by rank
+    monkeypatch.setattr(common, "HEAVY", 50)  # both sides of the join by rank
     rng = random.Random(m)
     line = lambda: " ".join(rng.choice("abc") for _ in range(rng.choice([1, 1, 1, 2, 4])))
     rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 14)))) for i in range(60)] + [(100, None), (101, ""), (102, "a\n" * 30), (None, "a\nb\nc\na\nb\nc\na\nb"), (103, "a b c a b c"), (104, "a b c a b c"), (105, "a b c a b c\na")]

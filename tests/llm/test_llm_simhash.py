@@ -5,7 +5,7 @@ import pytest
 from cases import ROWS, documents, table
 from xxhash import xxh64_intdigest
 
-from quarrydf.llm import simhash
+from quarrydf.llm import common, simhash
 from quarrydf.llm.components import components
 
 
@@ -63,8 +63,8 @@ def test_awkward_rows(spark, tmp_path):
     assert simhash.near_duplicates(documents(spark).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("size,short", [(8192, 12), (64, 12), (16, 3)])
-def test_long_lists_lose_no_link(spark, monkeypatch, size, short):
+@pytest.mark.parametrize("size,short,width", [(8192, 12, 3), (64, 12, 3), (16, 3, 3), (8192, 10**9, 3), (8192, 10**9, 1), (8192, 5, 2), (16, 3, 4)])
+def test_lists_of_any_length_lose_no_link(spark, monkeypatch, size, short, width):
     """Fingerprints close to a few centres: long posting lists, cut into blocks where they exceed the size."""
     monkeypatch.setattr(simhash, "LIST", size)
     monkeypatch.setattr(simhash, "SHORT", short)
@@ -79,22 +79,28 @@ def test_long_lists_lose_no_link(spark, monkeypatch, size, short):
     prints = sorted(found)
     a = np.array(prints, np.uint64)
     want = roots(len(prints), [(i, int(j)) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= 3)])
-    entries = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)), p.to_bytes(8, "big")) for p in prints], "node long, fp binary").repartition(4)
-    links = simhash.links(entries, simhash.posting_sets(8, 5, 3), 3, 5).collect()
+    entries = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "node long").repartition(4)
+    links = simhash.links(entries, 3, width).collect()
     place = {int(np.uint64(p).astype(np.int64)): i for i, p in enumerate(prints)}
     edges = [(place[r["u"]], place[r["v"]]) for r in links]
     assert all(int(np.bitwise_count(a[x] ^ a[y])) <= 3 for x, y in edges)
     assert roots(len(prints), edges) == want
 
 
-def test_posting_sets_cover():
-    from itertools import combinations
-
-    for positions, least, width in [(8, 5, 3), (8, 5, 2), (8, 6, 3), (8, 8, 3), (8, 4, 1), (16, 9, 3)]:
-        sets = [set(s) for s in simhash.posting_sets(positions, least, width)]
-        assert all(any(s <= set(c) for s in sets) for c in combinations(range(positions), least))
+def test_pairs_below_the_guaranteed_minimum_are_dropped(spark, monkeypatch):
+    """With the verification out of the way, what is left are the pairs that share at least five positional bytes."""
+    rng = np.random.default_rng(5)
+    raw = rng.integers(0, 3, (60, 8), dtype=np.uint8)
+    nodes = sorted({int(x) for x in raw.view(">i8")[:, 0].astype(np.int64)})
+    monkeypatch.setattr(simhash, "SHORT", 10**9)
+    monkeypatch.setattr(simhash.F, "bit_count", lambda c: simhash.F.lit(0))
+    same = lambda a, b: sum(x == y for x, y in zip((a & 2**64 - 1).to_bytes(8), (b & 2**64 - 1).to_bytes(8)))
+    want = sorted((a, b) for a in nodes for b in nodes if a > b and same(a, b) >= 5)
+    for width in (1, 2, 3):
+        got = simhash.links(spark.createDataFrame([(x,) for x in nodes], "node long"), 3, width)
+        assert sorted(map(tuple, got.collect())) == want and want
     with pytest.raises(ValueError):
-        simhash.posting_sets(8, 2, 3)
+        simhash.links(got, 3, 6)
 
 
 def test_components_of_random_graphs(spark):
@@ -135,6 +141,16 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_names_of_its_own_may_be_taken(spark):
+    names = ["key", "no_key", "digest", "copy", "row", "id", "node", "first", "ok", "fp", "n", "root"]
+    df = documents(spark, names)
+    with common.scratch(spark) as own:
+        kept = simhash.one_of_each(df)
+        assert kept.columns == df.columns and all(r[c] == "mine" for r in kept.collect() for c in names)
+        assert len(own.paths) == 1
+        assert len(simhash.near_duplicates(df).collect()) == len(ROWS) and len(own.paths) == 2
+
+
 @pytest.mark.parametrize("size,short", [(8192, 12), (16, 3)])
 def test_one_of_each_against_exact_similarity(spark, monkeypatch, size, short):
     """Scattered edits around 0.8, a hub whose copies are far from each other, and a passage that many texts share."""
