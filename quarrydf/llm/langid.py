@@ -57,17 +57,20 @@ class LanguageModel:
         self.languages, self.pieces = languages, pieces
         self.probabilities = probabilities
 
-    def _ready(self) -> None:
-        if hasattr(self, "_index"):
-            return
+    def _index_pieces(self) -> None:
         n = len(self.pieces)
         self._index = {p: i for i, p in enumerate(self.pieces)}
         self._longest = max(map(len, self.pieces), default=1)
+        self._unknown, self._none = n, n + 1
+
+    def _ready(self) -> None:
+        if hasattr(self, "_seen"):
+            return
+        self._index_pieces()
         size = np.array([len(p) for p in self.pieces] + [1, 1])
         #: The last row is for substrings that are no pieces. A constant for each character keeps products in range.
         self._scale = 30.0
         self._table = np.vstack([self.probabilities, np.zeros((1, len(self.languages)))]) * (self._scale ** size)[:, None]
-        self._unknown, self._none = n, n + 1
         self._seen: dict[str, int] = {}
         self._logs = np.zeros((CACHE + 1, len(self.languages)))
         #: By state of the automaton, the pieces that end there and their lengths.
@@ -107,7 +110,7 @@ class LanguageModel:
                     total += ways[-back] * table[i]
             top = total.copy()
             logs += np.log(top)
-            ways = [w / top for w in ways[-(longest - 1) :]] + [total / top]
+            ways = [w / top for w in ways[len(ways) - min(len(ways), longest - 1) :]] + [total / top]
         return logs - len(word) * math.log(self._scale)
 
     def _block(self, words: list[str]) -> np.ndarray:
@@ -191,90 +194,138 @@ class LanguageModel:
         return self.languages[best], float(1.0 / np.exp(logs - logs[best]).sum())
 
 
-def _expectation(words: list[tuple[list[tuple[int, int, int]], int, int]], p: np.ndarray) -> np.ndarray:
-    """Expected piece counts over all segmentations of counted words (spans by end, length, count)."""
-    out, prob = [0.0] * len(p), p.tolist()
-    for spans, n, count in words:
-        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-        forward[0] = backward[n] = 1.0
-        for s, e, i in spans:
-            forward[e] += forward[s] * prob[i]
-        if forward[n] <= 0.0:
-            continue
-        share = count / forward[n]
-        for s, e, i in reversed(spans):
-            way = prob[i] * backward[e]
-            backward[s] += way
-            out[i] += share * forward[s] * way
-    return np.array(out)
+#: Expected counts are added up as whole numbers of this part, so that sums do not depend on their order.
+_PART = 1 << 24
+
+
+def _spread(spans: list[tuple[int, int, int]], n: int, prob: list[float]) -> list[float]:
+    """The share of all segmentations' probability that goes through each span of one text of ``n`` characters."""
+    forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
+    forward[0] = backward[n] = 1.0
+    for s, e, i in spans:
+        forward[e] += forward[s] * prob[i]
+    if not 1e-280 < forward[n] < 1e280:
+        return _spread_by_logs(spans, n, prob)
+    out = [0.0] * len(spans)
+    for k in range(len(spans) - 1, -1, -1):
+        s, e, i = spans[k]
+        way = prob[i] * backward[e]
+        backward[s] += way
+        out[k] = forward[s] * way / forward[n]
+    return out
+
+
+def _spread_by_logs(spans, n: int, prob: list[float]) -> list[float]:
+    """The same for texts so long that products leave the range of a float."""
+
+    def more(a, b):
+        return max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf < b else max(a, b)
+
+    logs = {i: math.log(prob[i]) for _, _, i in spans}
+    forward, backward = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    forward[0] = backward[n] = 0.0
+    for s, e, i in spans:
+        forward[e] = more(forward[e], forward[s] + logs[i])
+    out = [0.0] * len(spans)
+    for k in range(len(spans) - 1, -1, -1):
+        s, e, i = spans[k]
+        way = logs[i] + backward[e]
+        backward[s] = more(backward[s], way)
+        out[k] = math.exp(min(0.0, forward[s] + way - forward[n]))
+    return out
+
+
+def expected(words, blank: "LanguageModel", probabilities: np.ndarray | None) -> Counter:
+    """Expected counts of (language, piece), in units of ``1 / _PART``, over all segmentations of (language number, word, count); every
+    piece that fits counts once if there are no probabilities yet."""
+    out: Counter = Counter()
+    columns = None if probabilities is None else [column.tolist() for column in probabilities.T]
+    for language, word, count in words:
+        spans = list(blank._spans(_START + word))
+        shares = [1.0] * len(spans) if columns is None else _spread(spans, len(word) + 1, columns[language])
+        for (_, _, i), share in zip(spans, shares):
+            out[language, i] += round(share * count * _PART)
+    return out
+
+
+def _normalised(counts: np.ndarray, smoothing: float) -> np.ndarray:
+    p = counts / _PART + smoothing
+    return p / p.sum(0)
 
 
 def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = 2, smoothing: float = 0.05) -> LanguageModel:
-    """Learn piece probabilities from word counts by language."""
+    """Learn piece probabilities from word counts by language, in one process."""
     languages = sorted(counts)
-    blank = LanguageModel(languages, pieces, np.ones((len(pieces) + 1, len(languages))))
-    blank._ready()
-    columns = []
-    cut: dict[str, list] = {}
-    for language in languages:
-        words = []
-        for word, count in sorted(counts[language].items()):
-            if word not in cut:
-                cut[word] = list(blank._spans(_START + word))
-            words.append((cut[word], len(word) + 1, count))
-        expected = np.zeros(len(pieces) + 1)
-        for spans, _, count in words:
-            for _, _, i in spans:
-                expected[i] += count
-        for _ in range(rounds):
-            p = expected + smoothing
-            expected = _expectation(words, p / p.sum())
-        p = expected + smoothing
-        columns.append(p / p.sum())
-    return LanguageModel(languages, pieces, np.array(columns).T if columns else np.ones((len(pieces) + 1, 0)))
-
-
-def learn(df: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", docs_per_language: int = 300, words_per_language: int = 12_000, longest_word: int = 40) -> LanguageModel:
+    blank, p = LanguageModel(languages, pieces, np.ones((len(pieces) + 1, len(languages)))), None
+    blank._index_pieces()
+    for _ in range(rounds + 1):
+        found = np.zeros((len(pieces) + 1, len(languages)))
+        for (k, i), n in expected(((k, w, n) for k, x in enumerate(languages) for w, n in counts[x].items()), blank, p).items():
+            found[i, k] = n
+        p = _normalised(found, smoothing)
+    return LanguageModel(languages, pieces, p)
+
+
+def learn(df: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_language: int = 300, rounds: int = 2, smoothing: float = 0.05) -> LanguageModel:
     """Fit a model on a bounded sample of the rows of ``df`` whose ``lang`` is not null.
 
-    The documented bounds: each language gives about ``docs_per_language`` rows (chosen by a hash of the text and row
-    id columns, so reruns agree; all rows if there are fewer), of these the ``words_per_language`` most frequent words
-    (ties by the word) of up to ``longest_word`` letters. At most ``MAX_LANGUAGES`` languages are learned, more are an
+    The documented bound: each language gives about ``docs_per_language`` rows (chosen by a hash of the text and the row
+    id, where there is one, so reruns agree; all rows if there are fewer), and of these every word of the whole texts. Words are counted, and the
+    expected counts of pieces found and added up, in Spark; what comes to the driver is one number a piece and language, as many as the model has. At
+    most ``MAX_LANGUAGES`` languages are learned, since the model is broadcast; more are an
     error. Null texts count as empty. An empty table gives a model without languages, which finds every text undefined.
     """
-    common.ship(df.sparkSession)
-    rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), common.text_of(text).alias("text")).filter("lang IS NOT NULL")
+    spark = df.sparkSession
+    common.ship(spark)
+    known = [F.col(f"`{c}`").cast("string") for c in df.columns if c.lower() in (doc_id.lower(), text.lower())]
+    unit = F.pmod(F.xxhash64(*known), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), common.text_of(text).alias("text"), unit.alias("unit")).filter("lang IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return fit({}, pieces)
-    share = F.create_map(*[x for k in sorted(sizes) for x in (F.lit(k), F.lit(min(1.0, docs_per_language / sizes[k])))])
-    unit = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns if c.lower() in ("doc_id", text.lower())]), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = df.withColumn("__unit", unit).filter(F.col(f"`{lang}`").isNotNull()).filter(F.col("__unit") < share[F.col(f"`{lang}`").cast("string")])
-    chosen = chosen.select(F.col(f"`{lang}`").cast("string").alias("lang"), common.text_of(text).alias("text"))
+    languages = sorted(sizes)
+    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, docs_per_language / sizes[k])))])
+    number = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
+    chosen = rows.filter(F.col("unit") < share[F.col("lang")]).select(number[F.col("lang")].alias("lang"), "text")
 
     def tally(batches):
-        found = Counter()
         for batch in common.slices(batches):
+            found = Counter()
             for language, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.update((language, w) for w in words_of(body) if len(w) <= longest_word)
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "word", "n"])
-
-    tallied = chosen.mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, Counter] = {k: Counter() for k in sizes}
-    for r in tallied.collect():
-        counts[r["lang"]][r["word"]] = r["n"]
-    kept = {k: Counter(dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[:words_per_language])) for k, c in counts.items()}
-    return fit(kept, pieces)
+                found.update((language, w) for w in words_of(body))
+            keys = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], ["lang", "word", "n"])
+
+    with common.scratch(spark):
+        counted = common.materialize(chosen.mapInArrow(tally, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+        p = None
+        for _ in range(rounds + 1):
+            shared = spark.sparkContext.broadcast((languages, pieces, p))
+
+            def count(batches, shared=shared):
+                own = LanguageModel(shared.value[0], shared.value[1], np.ones((0, 0)))
+                own._index_pieces()
+                for batch in batches:
+                    found = expected(zip(*[batch.column(i).to_pylist() for i in range(3)]), own, shared.value[2])
+                    keys = list(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(found.values()), pa.int64())], ["lang", "piece", "n"])
+
+            # one task a core would hold too many rows of one batch: words are dealt out by their hash
+            summed = counted.repartition("lang", "word").mapInArrow(count, "lang int, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+            found = np.zeros((len(pieces) + 1, len(languages)))
+            found[summed["piece"].to_numpy(), summed["lang"].to_numpy()] = summed["n"].to_numpy()
+            p = _normalised(found, smoothing)
+            shared.destroy()
+    return LanguageModel(languages, pieces, p)
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``df`` with the predicted language and its posterior probability (0 to 1).
 
     ``und`` with score 0 for null texts and texts without a letter. Only the text is read; whole texts of any length;
-    row by row, no shuffle. The model is broadcast; its size is that of the vocabulary times the languages. Columns
+    row by row, no shuffle; repeated rows get equal results, languages that are equally likely the first by name. The model is broadcast; its size is that of the vocabulary times the languages. Columns
     named like the results are replaced.
     """
     spark = df.sparkSession

@@ -69,14 +69,15 @@ def share_out(sizes: list[int], weights: list[float], total: float, max_epochs:
     return targets
 
 
-def _keyed(df: DataFrame, text: str, source: str, doc_id: str, quality: Column | None, seed: int) -> DataFrame:
-    """``df`` with ``__mix``: source, size, key and tie-break of every row, from the row alone."""
+def mix_key(text: str, source: str, doc_id: str, quality: Column | None, seed: int) -> Column:
+    """Source, size, key and tie-break of a row, from the row alone. The key is -ln(u) / weight for a u in (0, 1) that a hash of id and
+    text gives, in units of 2^-32: the exponential form of u^(1 / weight), smallest first."""
     body = F.col(f"`{text}`").cast("string")
     tie = F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`").cast("string"), body)
     unit = (F.pmod(F.xxhash64(F.lit("unit"), tie), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
     weight = F.least(F.greatest(F.coalesce(quality if quality is not None else letter_share(body), F.lit(LEAST_QUALITY)), F.lit(LEAST_QUALITY)), F.lit(1.0))
     key = F.floor(-F.log(unit) / weight * float(1 << _UNIT))
-    return df.withColumn("__mix", F.struct(F.col(f"`{source}`").cast("string").alias("source"), word_count(body).alias("size"), key.cast("long").alias("key"), tie.alias("tie")))
+    return F.struct(F.col(f"`{source}`").cast("string").alias("source"), word_count(body).alias("size"), key.cast("long").alias("key"), tie.alias("tie"))
 
 
 def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
@@ -147,10 +148,9 @@ def _closest(rows: DataFrame, gaps: dict, spans: dict) -> dict:
     return {r["at_source"]: r["place"] for r in best.collect() if r["place"]["tie"] > -(1 << 63)}
 
 
-def plan(df: DataFrame, weights: list[float], share: float = 1.5, max_epochs: int = 2, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: Column | None = None, seed: int = 17) -> list[Source]:
-    """Decide what a mix takes of each source: see :func:`mix`."""
-    keyed = _keyed(df, text, source, doc_id, quality, seed).select("__mix.*")
-    rows = common.materialize(keyed, "mix-keys")
+def plan(rows: DataFrame, weights: list[float], share: float = 1.5, max_epochs: int = 2) -> list[Source]:
+    """Decide what a mix takes of each source: see :func:`mix`. rows: a written table of the fields of :func:`mix_key`; it is read a few times."""
+    rows = rows.select("source", "size", "key", "tie")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -178,31 +178,29 @@ def plan(df: DataFrame, weights: list[float], share: float = 1.5, max_epochs: in
         budgets = {k: v for k, v in rests.items() if v >= 1}
     for k, place in _closest(rows, budgets, spans).items():
         spans[k].append(((place["key"], place["tie"] - 1), (place["key"], place["tie"]), 1 << 62))
-    common.discard(rows)
     return [Source(k, n, t, epochs[k], spans[k]) for (k, n), t in zip(by_name, targets)]
 
 
-def apply(df: DataFrame, sources: list[Source], text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: Column | None = None, seed: int = 17, prefix: str = "mix_") -> DataFrame:
-    """``df`` with ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_copies`` and ``mix_taken``: row by row, no shuffle."""
+#: The columns that a mix adds, with their names in :func:`_decided`.
+ADDED = ["mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken"]
+
+
+def _decided(rows: DataFrame, sources: list[Source]) -> DataFrame:
+    """``row`` (a struct) of ``rows`` (``row`` and ``m``, the fields of :func:`mix_key`) and the columns that a mix adds: row by row, no shuffle."""
     table = _table(
-        df.sparkSession,
+        rows.sparkSession,
         [(s.name, s.size, s.target, s.epochs, [(b, e, f) for b, e, f in s.spans]) for s in sources],
-        f"mix_source string, mix_source_size long, mix_target double, mix_epochs int, mix_spans {_SPANS}",
-    )
-    keyed = _keyed(df, text, source, doc_id, quality, seed)
-    here = F.struct(F.col("__mix.key").alias("key"), F.col("__mix.tie").alias("tie"))
-    joined = keyed.join(table, keyed["__mix.source"].eqNullSafe(table["mix_source"]), "left").withColumn("__here", here)
-    chosen = _chosen(F.col("mix_spans"), F.col("__here"), F.col("__mix.size"))
-    copies = (F.coalesce("mix_epochs", F.lit(0)) + F.coalesce(chosen.cast("int"), F.lit(0))).cast("int")
-    keep = [F.col(f"`{c}`") for c in df.columns if not c.lower().startswith(prefix)]
-    return joined.select(
-        *keep,
-        F.col("__mix.size").alias(f"{prefix}size"),
-        F.col("mix_source_size").alias(f"{prefix}source_size"),
-        F.col("mix_target").alias(f"{prefix}target"),
-        copies.alias(f"{prefix}copies"),
-        (F.col("__mix.size") * copies).alias(f"{prefix}taken"),
+        f"name string, source_size long, target double, epochs int, spans {_SPANS}",
     )
+    joined = rows.join(table, rows["m.source"].eqNullSafe(table["name"]), "left")
+    chosen = _chosen(F.col("spans"), F.struct(F.col("m.key").alias("key"), F.col("m.tie").alias("tie")), F.col("m.size"))
+    copies = (F.coalesce("epochs", F.lit(0)) + F.coalesce(chosen.cast("int"), F.lit(0))).cast("int")
+    added = [F.col("m.size"), F.col("source_size"), F.col("target"), copies, F.col("m.size") * copies]
+    return joined.select("row", *[c.alias(n) for c, n in zip(added, ADDED)])
+
+
+def _whole(df: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
 
 
 def mix(df: DataFrame, weights: list[float], share: float = 1.5, max_epochs: int = 2, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: Column | None = None, seed: int = 17) -> DataFrame:
@@ -214,17 +212,22 @@ def mix(df: DataFrame, weights: list[float], share: float = 1.5, max_epochs: int
     weighs documents in the fractional epoch. A document is taken whole or not at all; after the first prefix ``FILLS`` further
     ones fill what is missing with documents that still fit, and one more is taken if that brings the source closer to its
     target. Reruns agree. Null texts have size 0; repeated rows (equal id and text) are taken alike. An empty table
-    gives an empty one. Columns starting with ``mix_`` are replaced.
+    gives an empty one. Columns of the five names are replaced, all others stay. The texts are read twice and never shuffled: once for the narrow
+    table that decides, once to carry the decision out.
     """
-    options = {"text": text, "source": source, "doc_id": doc_id, "quality": quality, "seed": seed}
-    return apply(df, plan(df, weights, share, max_epochs, **options), **options)
+    key = mix_key(text, source, doc_id, quality, seed).alias("m")
+    with common.scratch(df.sparkSession):
+        sources = plan(common.materialize(df.select(key).select("m.*"), "mix-keys"), weights, share, max_epochs)
+    out = _decided(df.select(_whole(df), key), sources)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns if c.lower() not in ADDED], *ADDED)
 
 
 WEIGHTS = [3.0, 1.0, 2.0]
 
 
 def op2_mixing(spark, sf_dir):
-    """Mix all ``documents`` at source weights 3, 1, 2, repeating."""
+    """Mix all ``documents`` at source weights 3, 1, 2, repeating. The result needs no text, so it comes from the narrow written table."""
     docs = common.only(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "source")
-    mixed = mix(docs, WEIGHTS)
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
+    rows = common.materialize(docs.select(F.struct("doc_id").alias("row"), mix_key("text", "source", "doc_id", None, 17).alias("m")), "mix-keys")
+    mixed = _decided(rows, plan(rows.select("m.*"), WEIGHTS))
+    return mixed.select("row.doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from cases import ROWS, documents, table
 
 from quarrydf.llm import langid
@@ -69,6 +70,72 @@ def test_expectation_improves_likelihood():
     assert fitted.log_likelihood(bag)[0] > flat.log_likelihood(bag)[0]
 
 
+def test_learning_in_spark_is_learning_in_one_process(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").filter("doc_id % 4 = 0")
+    pieces = ["▁", *"abcdefghijklmnopqrstuvwxyzéèêàçüöäßñáíóú", "▁de", "en", "er", "▁la", "ie", "qu", "sch"]
+    counts = {}
+    for r in docs.collect():
+        if r["lang"] is not None:
+            counts.setdefault(r["lang"], Counter()).update(langid.words_of(r["text"] or ""))
+    want = langid.fit(counts, pieces)
+    got = langid.learn(docs, pieces, docs_per_language=10**9)
+    assert got.languages == want.languages and (got.probabilities == want.probabilities).all()
+
+
+@pytest.mark.parametrize("word", ["abab", "aabbcab", "ab" * 12])
+def test_shares_by_logs(small, word):
+    small._ready()
+    spans, prob = list(small._spans("▁" + word)), small.probabilities[:, 1].tolist()
+    assert np.allclose(langid._spread(spans, len(word) + 1, prob), langid._spread_by_logs(spans, len(word) + 1, prob))
+
+
+def test_a_very_long_word_is_learned_from():
+    counts = {"a": Counter({"ab" * 4000: 1})}
+    model = langid.fit(counts, ["▁", "a", "b", "ab", "c"], smoothing=1e-9)
+    p = dict(zip(model.pieces, model.probabilities[:, 0]))
+    assert p["ab"] + p["a"] + p["b"] > 0.99 and p["c"] < 1e-6
+
+
+def test_query_against_brute_force(spark, sf):
+    """The predictions from the model's probabilities alone: every word's segmentations summed by plain recursion."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learned_on_documents(docs.select("doc_id", "text", "lang"))
+    index, top = {p: i for i, p in enumerate(model.pieces)}, max(map(len, model.pieces))
+    none, known = len(model.pieces), {}
+
+    def logs(word):
+        ways = [np.ones(len(model.languages))]
+        for end in range(1, len(word) + 1):
+            parts = [(start, index.get(word[start:end], none if start == end - 1 else None)) for start in range(max(0, end - top), end)]
+            ways.append(sum(ways[s] * model.probabilities[i] for s, i in parts if i is not None))
+        return np.log(ways[-1])
+
+    rows = {r["doc_id"]: r for r in langid.op9_language_id(spark, sf).collect()}
+    for r in docs.filter("doc_id % 3 = 0").collect():
+        words = regex.findall(r"\p{L}+", (r["text"] or "").lower())
+        got = rows[r["doc_id"]]
+        if not words:
+            assert (got["lang_pred"], got["score"]) == ("und", 0.0)
+            continue
+        for w in set(words) - set(known):
+            known[w] = logs("▁" + w)
+        total = sum(known[w] for w in words)
+        assert got["lang_pred"] == model.languages[int(np.argmax(total))]
+        assert abs(got["score"] - 1 / np.exp(total - total.max()).sum()) < 1e-6
+
+
+def test_ties_go_to_the_first_by_name():
+    model = langid.LanguageModel(["x", "y"], ["a"], np.full((2, 2), 0.5))
+    assert model.judge(["aaa"]) == ("x", 0.5)
+
+
+def test_names_of_its_own_may_be_taken(spark):
+    names = ["unit", "__unit", "judged", "words", "piece"]
+    df = documents(spark, names)
+    got = langid.identify(df, langid.learn(df, ["▁", "a", "t"]))
+    assert all(r[c] == "mine" for r in got.collect() for c in names)
+
+
 def test_awkward_rows(spark, tmp_path):
     folder = table(spark, tmp_path, documents=documents(spark, ["score", "lang_pred", "judged", "word"]))
     got = {(r["doc_id"], r["lang_pred"]): r["score"] for r in langid.op9_language_id(spark, folder).collect()}

@@ -1,12 +1,15 @@
+import math
 import re
 from collections import defaultdict
 
 import pytest
+import regex
 from cases import ROWS, SCHEMA, documents, table
 from hypothesis import given
 from hypothesis import strategies as st
+from xxhash import xxh64_intdigest
 
-from quarrydf.llm import mixing
+from quarrydf.llm import common, mixing
 
 
 def words(text):
@@ -63,9 +66,37 @@ def brute(rows, weights):
     return out, dict(zip(names, targets))
 
 
+def key_of(doc_id, text, source):
+    """The key by its formula: -ln(u) / weight, u and the tie-break from chained XXH64 of seed, id and text."""
+    tie = xxh64_intdigest((17).to_bytes(4, "little"), 42)
+    for part in (str(doc_id) if doc_id is not None else None, text):
+        tie = tie if part is None else xxh64_intdigest(part.encode(), tie)
+    u = (xxh64_intdigest(tie.to_bytes(8, "little"), xxh64_intdigest(b"unit", 42)) % 2**53 + 0.5) / 2**53
+    share = len(regex.findall(r"\p{L}", text or "")) / max(1, len(text or ""))
+    return {"source": source, "size": words(text), "key": math.floor(-math.log(u) / max(share, 0.05) * 2**32), "tie": tie - (tie >> 63 << 64)}
+
+
+def test_keys_follow_the_formula(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = docs.select("doc_id", "text", "source", mixing.mix_key("text", "source", "doc_id", None, 17).alias("m")).collect()
+    for r in got:
+        want = key_of(r["doc_id"], r["text"], r["source"])
+        assert (r["m"]["source"], r["m"]["size"], r["m"]["tie"]) == (want["source"], want["size"], want["tie"])
+        assert r["m"]["key"] == pytest.approx(want["key"], rel=1e-14, abs=2)
+
+
+def test_names_of_its_own_may_be_taken(spark):
+    names = ["row", "m", "name", "spans", "epochs", "target", "mix_notes", "__mix"]
+    df = documents(spark, [*names, "mix_copies"])
+    with common.scratch(spark) as own:
+        rows = mixing.mix(df, mixing.WEIGHTS).collect()
+        assert not own.paths
+    assert len(rows) == len(ROWS) and all(r[c] == "mine" for r in rows for c in names) and all(isinstance(r["mix_copies"], int) for r in rows)
+
+
 def test_query_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    keys = {r["doc_id"]: r["__mix"] for r in mixing._keyed(docs, "text", "source", "doc_id", None, 17).collect()}
+    keys = {r["doc_id"]: key_of(r["doc_id"], r["text"], r["source"]) for r in docs.collect()}
     want, targets = brute([(m["source"], m["size"], m["key"], m["tie"]) for m in keys.values()], mixing.WEIGHTS)
     got = mixing.op2_mixing(spark, sf).collect()
     assert len(got) == docs.count()
