@@ -19,11 +19,11 @@ LONG_TEXT = 32
 
 
 def integer_sizes(df: DataFrame, column: str, chunk_id: str = "chunk_id", row_id: str = "row_id") -> DataFrame:
-    """For each chunk: rows, whether steps are constant, and the bytes that FOR, delta and RLE would take."""
+    """For each chunk: rows, whether steps are constant (never with a null), and the bytes that FOR, delta and RLE would take; nulls make runs, and no bytes."""
     v, w = F.col(f"`{column}`").cast("bigint"), Window.partitionBy(chunk_id).orderBy(row_id)
-    base = df.select(chunk_id, row_id, v.alias("v"), F.lag(v).over(w).alias("p"))
+    base = df.select(chunk_id, row_id, v.alias("v"), F.last(v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("p"), ((F.row_number().over(w) == 1) | ~v.eqNullSafe(F.lag(v).over(w))).alias("new"))
     step = F.col("v") - F.col("p")
-    new = F.col("p").isNull() | (F.col("v") != F.col("p"))
+    new = F.col("new")
     runs = base.select(chunk_id, "v", "p", step.alias("step"), new.alias("new"), F.sum(new.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     per_run = runs.groupBy(chunk_id, "run").agg(
         F.count("*").alias("len"),
@@ -36,7 +36,7 @@ def integer_sizes(df: DataFrame, column: str, chunk_id: str = "chunk_id", row_id
         F.sum("len").alias("n"),
         F.min("v").alias("low"),
         F.max("v").alias("high"),
-        (F.coalesce(F.min("s0"), F.lit(0)) == F.coalesce(F.max("s1"), F.lit(0))).alias("constant"),
+        ((F.count("v") == F.count("*")) & (F.coalesce(F.min("s0"), F.lit(0)) == F.coalesce(F.max("s1"), F.lit(0)))).alias("constant"),
         F.sum("delta_bytes").cast("bigint").alias("delta_bytes"),
         F.sum(varint_bytes(F.col("len")) + varint_bytes(zigzag(F.col("v")))).cast("bigint").alias("rle_bytes"),
     )
@@ -56,7 +56,7 @@ def integer_codec(sizes: DataFrame) -> DataFrame:
 def string_codec(df: DataFrame, column: str, chunk_id: str = "chunk_id", row_id: str = "row_id") -> DataFrame:
     """For each chunk: distinct values, runs, and ``codec``: RAW beyond 65,536 values, RLE for one value or if runs are smaller, else BDICT."""
     v, w = F.col(f"`{column}`"), Window.partitionBy(chunk_id).orderBy(row_id)
-    new = (F.lag(v).over(w).isNull() | (v != F.lag(v).over(w))).cast("bigint")
+    new = ((F.row_number().over(w) == 1) | ~v.eqNullSafe(F.lag(v).over(w))).cast("bigint")
     rows = df.select(chunk_id, v.alias("v"), new.alias("new"))
     by_value = rows.groupBy(chunk_id, "v").agg(F.count("*").alias("n"), F.sum("new").alias("runs"))
     size = F.octet_length("v")
@@ -86,3 +86,18 @@ def value_codec(kind: Column, distinct: Column, mean_length: Column) -> Column:
     """The advice by type, distinct values and mean length, for single-file tables."""
     text = F.when(distinct <= FILE_DICTIONARY_VALUES, "DictRLE").when(mean_length > LONG_TEXT, "LZ77").otherwise("None")
     return F.when(kind.isin("int", "float"), "Delta").when(kind == "bool", "RLE").when(kind == "embedding", "None").when(kind == "str", text).otherwise("LZ77")
+
+
+def float_codec(df: DataFrame, column: str, chunk_id: str = "chunk_id") -> DataFrame:
+    """For each chunk of a float column ``codec``: RLE for one value, FOR if all values are whole numbers of at most ``FOR_BITS`` bits of spread, else
+    FLOATDELTA, which keeps every bit."""
+    v = F.col(f"`{column}`").cast("double")
+    whole = F.coalesce(F.bool_and((v == F.floor(v)) & (F.abs(v) < float(1 << 53))), F.lit(True))
+    per = df.groupBy(chunk_id).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), whole.alias("whole"))
+    codec = F.when(F.col("n") == 0, "RAW").when(F.col("low").eqNullSafe(F.col("high")), "RLE").when(F.col("whole") & (F.col("high") - F.col("low") < float(1 << FOR_BITS)), "FOR").otherwise("FLOATDELTA")
+    return per.select(chunk_id, "n", codec.alias("codec"))
+
+
+def codec_by_type(kind: str) -> str | None:
+    """The codec that a type alone decides: truth values are always packed into bits; None where the values have to be looked at."""
+    return "BITPACK" if kind == "boolean" else None

@@ -53,6 +53,12 @@ class Tombstones:
         return self.active(df).agg(F.count("*").alias("n_active"))
 
 
+def _instant(text: str) -> datetime:
+    """A moment as text, in any form of ISO 8601; without a zone it is UTC."""
+    moment = datetime.fromisoformat(text)
+    return moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
+
+
 @dataclass(frozen=True)
 class Version:
     version: int
@@ -97,6 +103,14 @@ class VersionedTable:
                     continue
         return sorted(found, key=lambda v: v.version)
 
+    def _next(self) -> int:
+        """After the largest number that any log file has: an entry that its writer did not finish keeps its number, and blocks nobody."""
+        folder = self._path(f"{self.path}/_log")
+        if not self._fs.exists(folder):
+            return 1
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
+        return 1 + max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
     def latest(self) -> Version | None:
         found = self.versions()
         return found[-1] if found else None
@@ -106,8 +120,7 @@ class VersionedTable:
 
     def begin(self, df: DataFrame) -> "Staged":
         """Write the data of the next version where no reader looks."""
-        last = self.latest()
-        version = (last.version if last else 0) + 1
+        version = self._next()
         staged = f"{self.path}/data/v{version:08d}-{uuid.uuid4().hex}"
         df.write.parquet(staged)
         return Staged(self, version, staged)
@@ -123,8 +136,8 @@ class VersionedTable:
         raise ValueError(f"{self.path} has no version {version}")
 
     def as_of(self, moment: str) -> DataFrame:
-        """The table as it was at a moment (ISO 8601, UTC): the last version that is not later."""
-        found = [v for v in self.versions() if v.timestamp <= moment]
+        """The table as it was at a moment (ISO 8601; UTC unless it says otherwise): the last version that is not later."""
+        found = [v for v in self.versions() if _instant(v.timestamp) <= _instant(moment)]
         if not found:
             raise ValueError(f"{self.path} has no version at {moment}")
         return self.spark.read.parquet(found[-1].path)
@@ -145,6 +158,8 @@ class Staged:
     def commit(self, message: str = "", timestamp: str | None = None) -> Version:
         """Publish it. If another writer has published this version meanwhile, that is an error and the staged data stay for a retry."""
         t = self.table
+        if timestamp is not None:
+            _instant(timestamp)
         rows = t.spark.read.parquet(self.path).count()
         entry = Version(self.version, timestamp or datetime.now(timezone.utc).isoformat(timespec="microseconds"), message, self.path, rows)
         # create without overwriting: the store itself decides which of two writers wins

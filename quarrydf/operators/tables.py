@@ -6,33 +6,57 @@ key ranges give each range its first number, and inside a range a window counts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a chunk unless told otherwise, and rows that one key range should hold.
-CHUNK_ROWS, RANGE_ROWS = 65_536, 1_000_000
+#: Rows of a chunk unless told otherwise, rows that one key range should hold, most key ranges (their bounds are literals of the plan), and
+#: sampled keys for each range.
+CHUNK_ROWS, RANGE_ROWS, RANGES, SAMPLED = 65_536, 1_000_000, 16_384, 32
+
+
+def _bounds(df: DataFrame, key: str, rows: int, ranges: int) -> list:
+    """Keys that cut the table into about equal ranges: every so-many-th of a sample that a hash picks, so that it is the same whenever asked for."""
+    every = max(1, rows // (ranges * SAMPLED))
+    some = df.select(F.col(f"`{key}`").alias("k")).filter(F.col("k").isNotNull() & (F.pmod(F.xxhash64("k"), F.lit(every)) == 0)).distinct()
+    found = sorted(r["k"] for r in some.collect())
+    return sorted({found[len(found) * i // ranges] for i in range(1, ranges)}) if found else []
+
+
+def _range_of(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds lie below the value: first among every so-many-th, then among those between."""
+    step = max(1, math.isqrt(len(bounds)))
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    tops = F.array(*[F.lit(b[-1]) for b in blocks])
+    inner = F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks])
+    block = F.size(F.filter(tops, lambda b: b < value))
+    return F.when(block == len(blocks), F.lit(len(bounds))).otherwise(block * step + F.size(F.filter(F.get(inner, block), lambda b: b < value)))
 
 
 def with_row_id(df: DataFrame, key: str, name: str = "row_id", ranges: int | None = None) -> DataFrame:
-    """``df`` with the place (from 0) of each row in the order of the unique, non-null column ``key``."""
+    """``df`` with the place (from 0) of each row in the order of the column ``key``, of any type that can be ordered.
+
+    The key must be unique and not null: a null or repeated key is an error when the rows are read. Ranges of keys are numbered independently.
+    """
+    rows = df.count() if ranges is None else None
     if ranges is None:
-        ranges = min(2000, max(1, -(-df.count() // RANGE_ROWS)))
-    order = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(f"`{key}`"))).cast("bigint")
-    if ranges == 1:
-        return df.withColumn("__range", F.lit(0)).withColumn(name, order - 1).drop("__range")
-    numeric = F.col(f"`{key}`")
-    marks = df.agg(F.percentile_approx(numeric, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0] or []
-    marks = sorted(set(marks))
-    bounds = F.array(*[F.lit(m) for m in marks])
-    ranged = df.withColumn("__range", F.size(F.filter(bounds, lambda b: b < numeric)))
-    counts = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
-    firsts, total = [], 0
-    for i in range(len(marks) + 1):
-        firsts.append(total)
-        total += counts.get(i, 0)
-    first = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in firsts]), F.col("__range") + 1)
-    return ranged.withColumn(name, first + order - 1).drop("__range")
+        ranges = min(RANGES, max(1, -(-rows // RANGE_ROWS)))
+    value = F.col(f"`{key}`")
+    at, first, bounds = "__range", F.lit(0).cast("bigint"), []
+    if ranges > 1:
+        bounds = _bounds(df, key, rows if rows is not None else df.count(), ranges)
+    ranged = df.withColumn(at, _range_of(value, bounds) if bounds else F.lit(0))
+    if bounds:
+        counts = {r[at]: r["count"] for r in ranged.groupBy(at).count().collect()}
+        firsts = list(accumulate((counts.get(i, 0) for i in range(len(bounds))), initial=0))
+        first = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in firsts]), F.col(at) + 1)
+    order = Window.partitionBy(at).orderBy(value)
+    place = first + F.row_number().over(order).cast("bigint") - 1
+    wrong = F.when(value.isNull(), F.raise_error(F.lit(f"{key} is null")).cast("bigint")).when(F.lag(value).over(order) == value, F.raise_error(F.lit(f"{key} is not unique")).cast("bigint"))
+    return ranged.withColumn(name, wrong.otherwise(place)).drop(at)
 
 
 def with_chunk_id(df: DataFrame, row_id: str = "row_id", name: str = "chunk_id", chunk_rows: int = CHUNK_ROWS) -> DataFrame:

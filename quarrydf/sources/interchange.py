@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +16,25 @@ NULL = "NULL"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, strict: bool = True) -> DataFrame:
-    """A CSV file with a header. Without a schema every column is a string: types are never guessed from the data."""
-    reader = spark.read.option("header", True).option("nullValue", NULL).option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    if schema is None:
-        return reader.csv(path)
-    return reader.schema(parse_schema(schema) if isinstance(schema, str) else schema).csv(path)
+    """A CSV file with a header. Without a schema every column is a string: types are never guessed from the data. Cells may hold line breaks
+    and quotes; the marker is a null, the marker after a backslash the text itself."""
+    reader = spark.read.option("header", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").options(**_CSV)
+    wanted = parse_schema(schema) if isinstance(schema, str) else schema
+    df = reader.csv(path) if wanted is None else reader.schema(T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.StringType) else f.dataType) for f in wanted])).csv(path)
+    marked = lambda c: F.when(F.col(f"`{c}`").rlike(_MARKED), F.expr(f"substring(`{c}`, 2)")).otherwise(F.col(f"`{c}`")).alias(c)
+    return df.select(*[marked(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+
+
+#: Quotes are doubled inside quotes, and nothing is trimmed: any text survives.
+_CSV = {"nullValue": NULL, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+_MARKED = rf"^\\+{NULL}$"
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).option("header", True).option("nullValue", NULL).csv(path)
+    """A folder of CSV files with headers that :func:`read_csv` reads back whole; a text cell that is the null marker gets a backslash before it."""
+    text = lambda c: F.when(F.col(f"`{c}`").rlike(rf"^\\*{NULL}$"), F.concat(F.lit("\\"), F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`")).alias(c)
+    marked = df.select(*[text(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema])
+    marked.write.mode(mode).option("header", True).options(**(_CSV | {"emptyValue": '""', "quoteAll": False})).csv(path)
 
 
 def csv_to_parquet(spark: SparkSession, source: str, target: str, schema: T.StructType | str | None = None, codec: str = "zstd") -> None:
@@ -63,11 +74,13 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     cells = F.split("value", "\t", -1)
 
     def plain(c):
-        # a backslash pair is set aside while the other marks are resolved
-        text = F.replace(c, F.lit("\\\\"), F.lit("\u0000"))
-        for mark, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
-            text = F.replace(text, F.lit(mark), F.lit(char))
-        return F.when(c == "\\N", F.lit(None)).otherwise(F.replace(text, F.lit("\u0000"), F.lit("\\")))
+        # backslash pairs are resolved by cutting the text at them, so no character has to stand in for them
+        def part(text):
+            for mark, char in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
+                text = F.replace(text, F.lit(mark), F.lit(char))
+            return text
+
+        return F.when(c == "\\N", F.lit(None)).otherwise(F.array_join(F.transform(F.split(c, r"\\\\", -1), part), "\\"))
 
     rows = spark.read.text(f"{path}/rows").select(cells.alias("cells"))
     checked = F.when(F.size("cells") == len(schema), F.col("cells")).otherwise(F.raise_error(F.lit(f"a row without {len(schema)} cells")))
@@ -84,18 +97,31 @@ def file_stats(spark: SparkSession, path: str, cell_bytes: int = 50) -> dict:
     return {"rows": rows, "columns": len(df.columns), "names": df.columns, "types": [t for _, t in df.dtypes], "bytes": size, "ratio": size / plain if plain else 0.0}
 
 
+#: Files of a batch that are worked on at once.
+PARALLEL = 8
+
+
 def process_batch(spark: SparkSession, paths: list[str], op: str) -> dict[str, object]:
-    """``row_count``, ``column_count`` or ``stats`` of many files; a file that cannot be read gives its error's text and does not stop the others."""
-    ops: dict[str, Callable] = {"row_count": lambda p: spark.read.parquet(p).count(), "column_count": lambda p: len(spark.read.parquet(p).columns), "stats": lambda p: file_stats(spark, p)}
+    """``row_count``, ``column_count`` or ``stats`` of many files, or ``compress`` and ``decompress`` to a folder beside each, whose path is the result; a file that cannot be read gives its error's text and does not stop the others."""
+    ops: dict[str, Callable] = {"row_count": lambda p: spark.read.parquet(p).count(), "column_count": lambda p: len(spark.read.parquet(p).columns), "stats": lambda p: file_stats(spark, p), "compress": lambda p: _repacked(spark, p, "zstd"), "decompress": lambda p: _repacked(spark, p, "uncompressed")}
     if op not in ops:
         raise ValueError(f"operation {op!r}; there are {sorted(ops)}")
-    out: dict[str, object] = {}
-    for p in paths:
+
+    def one(p):
         try:
-            out[p] = ops[op](p)
+            return ops[op](p)
         except Exception as e:  # noqa: BLE001  reported, not hidden
-            out[p] = f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}"
-    return out
+            return f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}"
+
+    # the jobs of several files run side by side; Spark's scheduler shares the cluster among them
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        return dict(zip(paths, pool.map(one, paths)))
+
+
+def _repacked(spark: SparkSession, path: str, codec: str) -> str:
+    target = f"{path.rstrip('/')}.{codec}"
+    spark.read.parquet(path).write.mode("overwrite").option("compression", codec).parquet(target)
+    return target
 
 
 def in_chunks(df: DataFrame, rows: int = 65_536) -> Iterator[list]:
