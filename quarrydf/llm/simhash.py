@@ -240,15 +240,13 @@ def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
     return found[: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1] if len(found) else found
 
 
-def _alike(group: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float):
-    """Pairs of row numbers inside runs of equal ``group`` that may be similar: of different roots, whose sizes and whose places
-    of the shared element leave room for the overlap needed. A similar pair passes at the first element it shares."""
+def _alike(group: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float):
+    """Pairs of row numbers inside runs of equal ``group`` that may be similar: of different roots and of sizes that leave room for the overlap needed."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
 
     def may(i, j):
-        need = least_overlap(size[i], size[j], similarity)
-        return (root[i] != root[j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= need)
+        return (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least_overlap(size[i], size[j], similarity))
 
     short = np.repeat(sizes, sizes) <= SHORT
     for d in range(1, min(SHORT, int(sizes.max()))):
@@ -263,35 +261,43 @@ def _alike(group: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray
 
 
 def candidates(posts: DataFrame, similarity: float) -> DataFrame:
-    """``u``, ``v``: every pair of nodes of different ``root`` that can have this similarity, from ``key``, ``node``, ``size``, ``at``, ``root``, ``n``.
+    """``u``, ``v``: every pair of nodes of different ``root`` that can have this similarity, from ``key``, ``node``, ``size``, ``root``, ``n``.
 
-    Lists are dealt out as pairs of blocks where they exceed ``LIST``.
+    The elements that two prefixes share are counted. What one set shares beyond lies behind its prefix, for the set whose prefix ends
+    first in the order of all elements, so the count and the larger of both rests must make up the overlap needed. Lists are
+    dealt out as pairs of blocks where they exceed ``LIST``; a pair that meets in several of these counts more than once, which drops nothing.
     """
+
     def meet(batches):
         for got, change in runs_of(batches):
-            yield from found(got, change)
+            if len(got[0]) < 2:
+                continue
+            node, size = got[3], got[4].astype(np.int64)
+            for i, j in _alike(np.cumsum(change), size, got[5], similarity):
+                if len(i):
+                    low, high = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                    columns = [node[low], node[high], size[low].astype(np.int32), size[high].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "of_u", "of_v"])
+
+    spread = posts.select("key", "node", "size", "root", F.explode(_blocks(LIST // 2)).alias("b")).select("key", "b.i", "b.j", "node", "size", "root")
+    met = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u long, v long, of_u int, of_v int")
+    counted = met.groupBy("u", "v").agg(F.count("*").alias("n"), F.max("of_u").alias("of_u"), F.max("of_v").alias("of_v"))
+    rest = lambda c: F.ceil(F.col(c) * similarity - 1e-9) - 1
+    need = (F.col("of_u") + F.col("of_v")) * (similarity / (1 + similarity)) - 1e-6
+    return counted.filter(F.col("n") + F.greatest(rest("of_u"), rest("of_v")) >= need).select("u", "v")
 
-    def found(got, change):
-        if len(got[0]) < 2:
-            return
-        node, held, count = got[3], [], 0
 
-        def out():
-            both = np.unique(np.sort(np.concatenate(held), 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["u", "v"])
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle; 64 bits a row, so the broadcast table has a proven bound.
+FILTER_BITS = 1 << 25
 
-        for i, j in _alike(np.cumsum(change), got[4].astype(np.int64), got[5], got[6], similarity):
-            if len(i):
-                held.append(np.stack([node[i], node[j]], 1))
-                count += len(i)
-            if count > 1 << 16:
-                yield out()
-                held, count = [], 0
-        if held:
-            yield out()
 
-    spread = posts.select("key", "node", "size", "at", "root", F.explode(_blocks(LIST // 2)).alias("b")).select("key", "b.i", "b.j", "node", "size", "at", "root")
-    return spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u long, v long").distinct()
+def wanted_only(plain: DataFrame, digests: DataFrame) -> DataFrame:
+    """The rows of ``plain`` whose ``digest`` may be in the table ``digests``: all that are, and of the others the fewer the fewer are wanted."""
+    bit = lambda: F.pmod(F.col("digest"), F.lit(FILTER_BITS))
+    words = digests.select(F.expr(f"pmod(digest, {FILTER_BITS}) div 64").alias("word"), (bit() % 64).cast("int").alias("at"))
+    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("bits"))
+    marked = plain.withColumn("word", F.expr(f"pmod(digest, {FILTER_BITS}) div 64")).join(F.broadcast(words), "word")
+    return marked.filter(F.expr(f"shiftright(bits, int(pmod(digest, {FILTER_BITS}) % 64)) & 1L") == 1).select(*plain.columns)
 
 
 def chains(entries: DataFrame) -> DataFrame:
@@ -399,10 +405,13 @@ def _first_of_each(plain: DataFrame, n: int, similarity: float) -> DataFrame:
     def check(pairs: DataFrame) -> DataFrame:
         # one row stands for all copies of its set, so a text that a third of the rows hold is fetched once
         ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts, "node").select("node", F.col("first.id").alias("end_id"), F.col("first.digest").alias("end_digest"))
-        texts = plain.join(ends, (F.col("digest") == F.col("end_digest")) & F.col("id").eqNullSafe(F.col("end_id"))).groupBy("node").agg(F.first("text").alias("text"))
+        ends = common.materialize(ends, "ends")
+        some = wanted_only(plain, ends.select(F.col("end_digest").alias("digest")))
+        texts = some.join(ends, (F.col("digest") == F.col("end_digest")) & F.col("id").eqNullSafe(F.col("end_id"))).groupBy("node").agg(F.first("text").alias("text"))
         sets = common.materialize(texts.select("node", F.arrow_udf(elements, "binary")("text").alias("elements")), "sets")
         out = common.materialize(verified(pairs, sets, similarity), "verified")
         common.discard(sets)
+        common.discard(ends)
         return out
 
     likely = check(near)
