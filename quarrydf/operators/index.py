@@ -27,8 +27,9 @@ def index_size(index: DataFrame) -> DataFrame:
 
 
 def bloom_positions(c: Column, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> Column:
-    """The bits of a value: double hashing with two 64-bit hashes."""
-    a, b = F.xxhash64(c), F.xxhash64(F.lit("bloom"), c)
+    """The bits of a value: double hashing with two 64-bit hashes of its text, so that a literal meets a column of another width."""
+    text = c.cast("string")
+    a, b = F.xxhash64(text), F.xxhash64(F.lit("bloom"), text)
     return F.array(*[F.pmod(F.pmod(a, F.lit(bits)) + k * F.pmod(b, F.lit(bits - 1)) + k, F.lit(bits)).cast("int") for k in range(hashes)])
 
 
@@ -39,6 +40,6 @@ def build_bloom(df: DataFrame, column: str, chunk_id: str = "chunk_id", bits: in
 
 
 def may_contain(bloom: DataFrame, value, chunk_id: str = "chunk_id", bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> DataFrame:
-    """The chunks that may hold the value: never one too few."""
+    """The chunks that may hold the value: never one too few. The value is compared by its text."""
     wanted = bloom_positions(F.lit(value), bits, hashes)
     return bloom.filter(F.size(F.array_except(wanted, F.col("bits_set"))) == 0).select(chunk_id)

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from quarrydf.functions.schema import display, is_numeric
 from quarrydf.operators import advisor, encodings, index, lifecycle, security, stats, tables
+from quarrydf.plans import storage
 from quarrydf.plans.query import Query, Select, Where, build, sql
 from quarrydf.sources import interchange
 from quarrydf.streaming.events import windowed
@@ -197,16 +198,6 @@ def active_count(spark, sf_dir):
     return gone.active_count(orders)
 
 
-@_query(
-    """SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k
-    FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30') WHERE k = 1"""
-)
-def time_travel_asof(spark, sf_dir):
-    """The last order of each customer as of a moment: versions as rows of a log."""
-    log = _load(spark, sf_dir, "orders").filter(F.col("o_orderdate") <= F.lit("1996-06-30").cast("timestamp_ntz"))
-    return log.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("v")).select("v.*")
-
-
 # --- statistics ------------------------------------------------------------------------------------------------------
 
 
@@ -333,7 +324,7 @@ def cdelta_check(spark, sf_dir):
 @_query(f"SELECT row_id // 8 AS byte_id, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 << (row_id % 8)::INT ELSE 0 END) AS BIGINT) AS byte FROM {_ORDERS} GROUP BY row_id // 8")
 def bitpack_bool(spark, sf_dir):
     df = _numbered(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").withColumn("done", F.col("o_orderstatus") == "F")
-    return encodings.pack_bools(df, "done")
+    return encodings.pack_bools(df, "done").select("byte_id", "byte")
 
 
 @_query("SELECT p_partkey, CAST(round(p_retailprice * 10000) AS BIGINT) AS fixed, CAST(round(p_retailprice * 10000) AS BIGINT) / 10000 AS back FROM part")
@@ -415,11 +406,15 @@ def index_size(spark, sf_dir):
     return index.index_size(index.postings(_numbered(spark, sf_dir, "events", "event_id", "event_type"), "event_type"))
 
 
-@_query(f"SELECT DISTINCT chunk_id, true AS found FROM {_ORDERS} WHERE o_orderpriority = '1-URGENT'")
+@_query(f"SELECT chunk_id, count(*) FILTER (o_orderkey = 777) > 0 AS held FROM {_ORDERS} GROUP BY chunk_id")
 def bloom_probe(spark, sf_dir):
-    """Chunks that may hold a value; here every chunk holds it, so false positives cannot show."""
-    df = _numbered(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority")
-    return index.may_contain(index.build_bloom(df, "o_orderpriority"), "1-URGENT").withColumn("found", F.lit(True))
+    """For each chunk whether it holds a key: the filter must name the one chunk that does, and leaves out all that its bits rule out; what it
+    names is then looked at, so that a filter that names too few shows."""
+    df = _numbered(spark, sf_dir, "orders", "o_orderkey")
+    bloom = index.build_bloom(df, "o_orderkey", bits=1 << 17)
+    named = index.may_contain(bloom, 777, bits=1 << 17).withColumn("named", F.lit(True))
+    held = df.groupBy("chunk_id").agg((F.count_if(F.col("o_orderkey") == 777) > 0).alias("held"))
+    return held.join(named, "chunk_id", "left").select("chunk_id", (F.col("held") & F.coalesce("named", F.lit(False))).alias("held"))
 
 
 # --- nested values, text, integrity ----------------------------------------------------------------------------------
@@ -489,7 +484,18 @@ def encrypt_roundtrip(spark, sf_dir):
     return security.decrypt_columns(hidden, {"test": key})
 
 
-@_query()
+#: CRC-32 of each row's text, byte by byte over a table that eight shifts make, then added up by chunk.
+_CRC_SHIFTS = "i"
+for _ in range(8):
+    _CRC_SHIFTS = f"(SELECT CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM (SELECT {_CRC_SHIFTS} AS v))"
+_CRC_SQL = f"""WITH t AS (SELECT list(b ORDER BY i) AS tab FROM (SELECT i, CAST({_CRC_SHIFTS} AS BIGINT) AS b FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256)))),
+    r AS (SELECT chunk_id, '=' || o_orderkey || chr(31) || '=' || o_custkey || chr(31) || '=' || chunk_id AS s FROM {_ORDERS}),
+    c AS (SELECT chunk_id, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(1, strlen(s) + 1), lambda k: CAST(ord(s[k]) AS BIGINT)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM r, t)
+    SELECT chunk_id, count(*) AS n_rows, CAST(sum(crc) AS BIGINT) AS crc_sum, bit_xor(crc) AS crc_xor FROM c GROUP BY chunk_id"""
+
+
+@_query(_CRC_SQL)
 def chunk_checksum(spark, sf_dir):
     return security.chunk_checksums(_numbered(spark, sf_dir, "orders", "o_orderkey", "o_custkey").drop("row_id"))
 
@@ -506,6 +512,9 @@ def windowed_events(spark, sf_dir):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+storage.register(_query, _load, _numbered, _ORDERS, _EVENTS)
+
+
 def queries():
     """Queries by name."""
     return dict(_QUERIES)
