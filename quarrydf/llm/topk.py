@@ -50,12 +50,17 @@ class Best:
             self.scores[rows], self.ids[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
+def _largest(vectors: np.ndarray) -> int:
+    """The largest absolute component."""
+    return max(int(vectors.max(initial=0)), -int(vectors.min(initial=0)))
+
+
 class BallTree:
     """Vectors in nested balls: each node has a centre, a radius and either two nodes or a range of rows."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.order = np.arange(len(ids))
-        self.exact = len(vectors) == 0 or float(np.abs(vectors).max(initial=0)) ** 2 * max(1, vectors.shape[1]) < 2**52
+        self.largest = _largest(vectors)
         self._all = vectors.astype(np.float64)
         self.root = self._node(0, len(ids))
         self.ids = ids[self.order]
@@ -80,8 +85,11 @@ class BallTree:
         return centre, radius, a, b, (self._node(a, middle), self._node(middle, b))
 
     def search(self, ids: np.ndarray, queries: np.ndarray, best: Best, visited: list[int] | None = None) -> None:
-        """Offer all vectors but those of the query's own id to ``best``."""
+        """Offer all vectors but those of the query's own id to ``best``. A score beyond 64 bits is an error."""
         floats = queries.astype(np.float64)
+        # no term of a score is larger; below 2^52 doubles hold every partial sum
+        most = self.largest * _largest(queries) * max(1, self.vectors.shape[1])
+        slack = most * 2.0**-50
         norms = np.sqrt((floats**2).sum(1))
 
         def bound(node, rows):
@@ -98,8 +106,15 @@ class BallTree:
                     visited.append(len(rows) * (b - a))
                 for at in range(a, b, LEAF * 16):
                     to = min(b, at + LEAF * 16)
-                    scores = np.rint(floats[rows] @ self.floats[at:to].T).astype(np.int64) if self.exact else queries[rows] @ self.vectors[at:to].T
-                    scores[ids[rows][:, None] == self.ids[at:to][None]] = _LOW
+                    own, near = ids[rows][:, None] == self.ids[at:to][None], floats[rows] @ self.floats[at:to].T
+                    if most < 2**52:
+                        scores = np.rint(near).astype(np.int64)
+                    else:
+                        # 64-bit sums wrap, so they are right whenever the score itself fits
+                        if (~own & (np.abs(near) + slack >= 2.0**63)).any():
+                            raise OverflowError("an inner product does not fit in 64 bits: quantise with a smaller scale")
+                        scores = queries[rows] @ self.vectors[at:to].T
+                    scores[own] = _LOW
                     best.add(rows, scores, self.ids[at:to])
                 return
             left, right = (bound(c, rows) for c in children)
@@ -125,7 +140,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both tables have ``vec_id`` (long) and ``v`` (array of long); null vectors take no part. Exact; all rows if there are fewer
     than ``k``; ties to the smaller id; rows of the query's own id are left out; of repeated
     queries the one with the smallest vector is asked, repeated candidates count each. Vectors are compared with
-    those of their own length. Every shard meets every block of queries once, in some task; memory is bounded by one
+    those of their own length. A score beyond 64 bits is an error. Every shard meets every block of queries once, in some task; memory is bounded by one
     shard and one block, and nothing is collected.
     """
     spark = vectors.sparkSession

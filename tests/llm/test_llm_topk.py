@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from oracle import same
 
 from quarrydf.llm import topk
@@ -59,3 +60,19 @@ def test_repeated_and_few_rows(spark):
     assert sorted(got) == [(0, 1, 7, 2), (0, 2, 7, 2)]
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
     assert topk.search(df, df.limit(0)).count() == 0
+
+
+def test_large_components_are_exact_or_an_error():
+    """Queries larger than the vectors, partial sums beyond 64 bits, and scores beyond them."""
+    vectors = np.array([[3, 1], [3, 2], [-(2**40), 2**40]])
+    queries = np.array([[2**60 + 1, 5], [2**40, 2**40]])
+    for asked, rows in ((queries[:1], vectors[:2]), (queries[1:], vectors)):
+        best = topk.Best(1, 2)
+        topk.BallTree(np.arange(len(rows)), rows).search(np.array([9]), asked, best)
+        true = sorted(((sum(int(a) * int(b) for a, b in zip(asked[0], v)), -i) for i, v in enumerate(rows)), reverse=True)[:2]
+        assert list(zip(best.scores[0].tolist(), (-best.ids[0]).tolist())) == true
+    with pytest.raises(OverflowError):
+        topk.BallTree(np.arange(1), vectors[2:]).search(np.array([9]), np.array([[-(2**40), 2**40]]), topk.Best(1, 1))
+    # a query's own row is no candidate, however large
+    topk.BallTree(np.arange(1), vectors[2:]).search(np.array([0]), vectors[2:], best := topk.Best(1, 1))
+    assert best.scores[0, 0] == topk._LOW
