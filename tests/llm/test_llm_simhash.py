@@ -103,7 +103,10 @@ def test_pairs_below_the_guaranteed_minimum_are_dropped(spark, monkeypatch):
         simhash.links(got, 3, 6)
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("together, at_once", [(1 << 14, 1 << 17), (40, 15)])
+def test_components_of_random_graphs(spark, monkeypatch, together, at_once):
+    monkeypatch.setattr("quarrydf.llm.components.TOGETHER", together)
+    monkeypatch.setattr("quarrydf.llm.components.AT_ONCE", at_once)
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 90)] + [(7, 7)]
     df = spark.createDataFrame(edges + edges[:5] + [(None, 3)], "u long, v long")
