@@ -30,7 +30,7 @@ def line_dedup(spark, docs, sf_dir):
 
 def near_dedup(spark, docs, sf_dir):
     """One document of each group of near-duplicates stays, that with the smallest id (sets of five-word shingles, Jaccard similarity of exactly 0.8
-    or more). Null texts and texts without words are one group; of rows that repeat id and text one stays."""
+    or more): SimHash links at three or fewer differing bits, then an exact check, then an exact way for the pairs that fingerprints miss. Null texts and texts without words are one group; of rows that repeat id and text one stays."""
     return simhash.one_of_each(common.only(docs, *COLUMNS))
 
 

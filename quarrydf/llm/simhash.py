@@ -215,6 +215,19 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n
     return out
 
 
+def print_links(marks: DataFrame, limit: int, width: int = 3) -> DataFrame:
+    """``u``, ``v``: pairs of nodes whose fingerprints differ in ``limit`` bits at most, by the index of :func:`links`.
+
+    marks: distinct ``node``, ``fp``, a written table; a node may have several fingerprints. Nodes of one fingerprint are paired with the smallest of
+    them, which stands for it, so the pairs connect what all pairs within that distance connect.
+    """
+    prints = common.materialize(marks.groupBy("fp").agg(F.min("node").alias("least"), F.count("*").alias("n")), "marked")
+    same = common.attach(marks, prints, ["fp"], marks.count()).select(F.col("node").alias("u"), F.col("least").alias("v"))
+    left, right = (prints.select(F.col("fp").alias(x), F.col("least").alias(f"of_{x}")) for x in "uv")
+    apart = links(prints.select(F.col("fp").alias("node")), limit, width).join(left, "u").join(right, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+    return same.unionByName(apart).filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def shingle_set(text: str, n: int = 5) -> np.ndarray:
     """The distinct hashes of the text's shingles, sorted (uint64)."""
     from xxhash import xxh64_intdigest
@@ -222,6 +235,16 @@ def shingle_set(text: str, n: int = 5) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(s, 42) for s in shingles(text, n)], np.uint64))
 
 
+#: Bits of a set's sketch.
+SKETCH = 512
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """``SKETCH`` bits, each set if an odd number of elements (uint64) falls on it. Elements of both sets cancel out, so the sketches of two sets
+    differ in no more bits than there are elements in only one of them."""
+    return np.packbits(np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
 def least_overlap(a, b, similarity: float):
     """The fewest common elements of sets of ``a`` and ``b`` elements at this Jaccard similarity (not rounded up)."""
     return similarity / (1 + similarity) * (a + b) - 1e-9
@@ -240,8 +263,9 @@ def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
     return found[: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1] if len(found) else found
 
 
-def _alike(group: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: float):
-    """Pairs of row numbers inside runs of equal ``group`` that may be similar: of different roots and of sizes that leave room for the overlap needed."""
+def _alike(group: np.ndarray, size: np.ndarray, root: np.ndarray, sketches: np.ndarray, similarity: float):
+    """Pairs of row numbers inside runs of equal ``group`` that may be similar: of different roots, of sizes that leave room for the overlap needed,
+    and, in runs longer than ``SHORT``, of sketches that do."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[starts, len(group)])
 
@@ -254,17 +278,22 @@ def _alike(group: np.ndarray, size: np.ndarray, root: np.ndarray, similarity: fl
         i = i[may(i, i + d)]
         yield i, i + d
     for s, k in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
+        bits = np.frombuffer(b"".join(sketches[s : s + k]), np.uint64).reshape(k, -1)
         for i in range(s, s + k - 1):
             j = np.arange(i + 1, s + k)
             j = j[may(i, j)]
+            differ = np.bitwise_count(bits[j - s] ^ bits[i - s]).sum(1, dtype=np.int64)
+            j = j[differ <= size[i] + size[j] - 2 * least_overlap(size[i], size[j], similarity)]
             yield np.full(len(j), i), j
 
 
 def candidates(posts: DataFrame, similarity: float) -> DataFrame:
-    """``u``, ``v``: every pair of nodes of different ``root`` that can have this similarity, from ``key``, ``node``, ``size``, ``root``, ``n``.
+    """``u``, ``v``: every pair of nodes of different ``root`` that can have this similarity, from ``key``, ``node``, ``size``, ``root``, ``n``
+    and, where ``n`` exceeds ``SHORT``, ``sketch``.
 
     The elements that two prefixes share are counted. What one set shares beyond lies behind its prefix, for the set whose prefix ends
-    first in the order of all elements, so the count and the larger of both rests must make up the overlap needed. Lists are
+    first in the order of all elements, so the count and the larger of both rests must make up the overlap needed. Longer lists
+    give only the pairs whose sketches allow that overlap, so a large group of texts that are not similar enough is not written out as all its pairs. Lists are
     dealt out as pairs of blocks where they exceed ``LIST``; a pair that meets in several of these counts more than once, which drops nothing.
     """
 
@@ -273,13 +302,13 @@ def candidates(posts: DataFrame, similarity: float) -> DataFrame:
             if len(got[0]) < 2:
                 continue
             node, size = got[3], got[4].astype(np.int64)
-            for i, j in _alike(np.cumsum(change), size, got[5], similarity):
+            for i, j in _alike(np.cumsum(change), size, got[5], got[6], similarity):
                 if len(i):
                     low, high = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
                     columns = [node[low], node[high], size[low].astype(np.int32), size[high].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "of_u", "of_v"])
 
-    spread = posts.select("key", "node", "size", "root", F.explode(_blocks(LIST // 2)).alias("b")).select("key", "b.i", "b.j", "node", "size", "root")
+    spread = posts.select("key", "node", "size", "root", "sketch", F.explode(_blocks(LIST // 2)).alias("b")).select("key", "b.i", "b.j", "node", "size", "root", "sketch")
     met = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(meet, "u long, v long, of_u int, of_v int")
     counted = met.groupBy("u", "v").agg(F.count("*").alias("n"), F.max("of_u").alias("of_u"), F.max("of_v").alias("of_v"))
     rest = lambda c: F.ceil(F.col(c) * similarity - 1e-9) - 1
@@ -341,21 +370,25 @@ def common_shingles(df: DataFrame, text: str, n: int, docs: int = 4000, most: in
     return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5, similarity: float = 0.8, limit: int = 3) -> DataFrame:
     """``df`` with one row of each group of near-duplicates: the one with the smallest id (null last), then the smallest text digest.
 
     Exact: texts link if the Jaccard similarity of their sets of ``n``-word shingles is at least ``similarity``; groups are what links
-    connect. Sets of such a similarity share an element of their prefixes (in one order of all shingles, rare ones first), so all pairs that meet in a
-    prefix, and are not connected yet, are verified on the whole sets. To spare large groups their pairs, likely links are verified
-    first. Texts without words, null ones included, are one
+    connect. First come the pairs whose fingerprints differ in ``limit`` bits at most, as :func:`near_duplicates` finds them (postings of
+    positional bytes, tally, guaranteed minimum, differing bits); the similarity is then checked on the whole sets. Fingerprints do not promise every
+    pair of that similarity, so there is an exact way for the rest: sets of such a similarity share an element of their prefixes (in one order of all
+    shingles, rare ones first), and all pairs that meet in a prefix, and are not connected yet, are checked as well. To spare large groups their pairs,
+    likely links by equal minima are checked with those of the fingerprints. Texts without words, null ones included, are one
     group. Rows that repeat id and text count as copies: one stays. An empty table gives an empty one. The columns are those of ``df``, whatever their
     names. One table, of the rows that stay, is left in the shared folder.
     """
     common.ship(df.sparkSession)
     digest = F.xxhash64(common.text_of(text))
     plain = df.select(F.col(f"`{doc_id}`").alias("id"), digest.alias("digest"), F.col(f"`{text}`").cast("string").alias("text"))
+    if not 0 <= limit <= 7:
+        raise ValueError("limit must be 0 to 7")
     with common.scratch(df.sparkSession) as own:
-        kept = _first_of_each(plain, n, similarity)
+        kept = _first_of_each(plain, n, similarity, limit)
         own.keep(kept)
     # plain keys, the same in join and window, so that the texts are dealt out once
     names = ["key", "no_key", "digest"]
@@ -367,38 +400,42 @@ def one_of_each(df: DataFrame, text: str = "text", doc_id: str = "doc_id", n: in
     return whole.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
-def _first_of_each(plain: DataFrame, n: int, similarity: float) -> DataFrame:
+def _first_of_each(plain: DataFrame, n: int, similarity: float, limit: int) -> DataFrame:
     """``id`` and ``digest`` of the row that stays of each group; see :func:`one_of_each`. plain: ``id``, ``digest``, ``text``."""
     last = common_shingles(plain, "text", n)
 
     def describe(texts: pa.Array) -> pa.Array:
         from xxhash import xxh64_intdigest
 
-        nodes, sizes, mins, first = [], [], [], []
+        nodes, sizes, mins, first, prints, sketches = [], [], [], [], [], []
         for t in texts:
             found = shingle_set(t.as_py() or "", n)
             nodes.append(np.uint64(xxh64_intdigest(found.tobytes())).astype(np.int64))
             sizes.append(len(found))
             mins.append([_mix(found, k).min().astype(np.int64) for k in range(1, 9)] if len(found) else [])
             first.append(prefix(found, last, similarity).view(np.int64))
+            prints.append(fingerprint(t.as_py() or ""))
+            sketches.append(sketch(found))
         columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(mins, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(columns, ["node", "size", "mins", "first"])
+        fps = pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64))
+        return pa.StructArray.from_arrays([*columns, fps, pa.array(sketches, pa.binary())], ["node", "size", "mins", "first", "fp", "sketch"])
 
     def elements(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t.as_py() or "", n).tobytes() for t in texts], pa.binary())
 
-    described = plain.withColumn("d", F.arrow_udf(describe, "struct<node: long, size: int, mins: array<long>, first: array<long>>")("text"))
+    described = plain.withColumn("d", F.arrow_udf(describe, "struct<node: long, size: int, mins: array<long>, first: array<long>, fp: long, sketch: binary>")("text"))
     prints = common.materialize(described.select("id", "digest", "d.*"), "prints")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")
-    one = F.first(F.struct("size", "mins", F.col("first").alias("keys"))).alias("one")
+    one = F.first(F.struct("size", "mins", "sketch", F.col("first").alias("keys"))).alias("one")
     entries = common.materialize(prints.groupBy("node").agg(one, F.min(place).alias("first")).select("node", "one.*", "first"), "entries")
+    marks = common.materialize(prints.select("node", "fp").distinct(), "marks")
     common.discard(prints)
     posts = entries.select("node", "size", F.posexplode("keys").alias("at", "key"))
     shared = common.materialize(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     lists = common.materialize(posts.join(shared, "key"), "lists")
     met = lists.select("node").distinct().join(entries.select("node", "mins"), "node")
-    near = common.materialize(chains(met), "likely-pairs")
-    firsts = common.materialize(entries.select("node", "first"), "firsts")
+    near = common.materialize(print_links(marks, limit, min(3, 8 - limit)).unionByName(chains(met)).distinct(), "likely-pairs")
+    firsts = common.materialize(entries.select("node", "first", "sketch"), "firsts")
     common.discard(entries)
     common.discard(shared)
 
@@ -416,7 +453,8 @@ def _first_of_each(plain: DataFrame, n: int, similarity: float) -> DataFrame:
 
     likely = check(near)
     tied = common.materialize(components(likely), "tied")
-    rest = lists.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = firsts.select("node", "sketch").join(tied, "node", "left")
+    rest = lists.join(known, "node").withColumn("root", F.coalesce("root", "node")).withColumn("sketch", F.when(F.col("n") > SHORT, F.col("sketch")))
     open_pairs = common.materialize(candidates(rest, similarity), "open-pairs")
     common.discard(lists)
     found = likely.unionByName(check(open_pairs))

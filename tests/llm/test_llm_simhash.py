@@ -174,3 +174,59 @@ def test_one_of_each_against_exact_similarity(spark, monkeypatch, size, short):
     root = roots(len(texts), [p for p, x in scores.items() if x >= 0.8])
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
     assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(set(root))
+
+
+def test_fingerprints_link_in_one_of_each(spark, monkeypatch):
+    """With both other ways to pairs switched off, the SimHash links that pass the exact check decide alone."""
+    rng, texts = random.Random(12), []
+    for g in range(30):
+        words = [f"w{rng.randrange(9000)}" for _ in range(rng.choice([200, 400, 800]))]
+        texts += [words, near(rng, words, 1), near(rng, words, 2), words + words[:2]]
+        if g < 5:
+            texts += [words + ["y"] + ["z"] * 60, near(rng, words, 60)]
+    texts += [["s"] * k + [f"t{k}"] for k in range(30, 50)]  # all alike to SimHash, few at 0.8
+    texts += [[w.upper() for w in texts[0]], [], []]
+    rng.shuffle(texts)
+    shingled = [{tuple(x.lower() for x in w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    prints = [print_of(" ".join(w)) for w in texts]
+    pairs = {(i, j): (prints[i] ^ prints[j]).bit_count() for i in range(len(texts)) for j in range(i)}
+    close = [p for p, bits in pairs.items() if bits <= 3]
+    alike = [(i, j) for i, j in close if len(shingled[i] & shingled[j]) >= 0.8 * len(shingled[i] | shingled[j])]
+    assert len(alike) > 30 and len(close) > len(alike) and sum(pairs[p] > 0 for p in alike) > 20
+    none = spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(simhash, "chains", lambda entries: none)
+    monkeypatch.setattr(simhash, "candidates", lambda posts, similarity: none)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(df).collect())
+    assert kept == sorted(set(roots(len(texts), alike)))
+    monkeypatch.undo()
+    whole = [(i, j) for i, j in pairs if len(shingled[i] & shingled[j]) >= 0.8 * len(shingled[i] | shingled[j])]
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == sorted(set(roots(len(texts), whole)))
+
+
+def test_pairs_of_fingerprints(spark):
+    """Nodes of one fingerprint, nodes of several, a group that many share: the pairs connect what all pairs within three bits connect."""
+    rng = random.Random(6)
+    marks = {(n, rng.choice([0, 1, 7, 15, -1, -2, 1 << 40, 1 << 62])) for n in range(60)} | {(100 + n, rng.getrandbits(63)) for n in range(40)}
+    marks |= {(n, rng.getrandbits(62)) for n in range(0, 60, 7)}
+    got = simhash.print_links(common.materialize(spark.createDataFrame(sorted(marks), "node long, fp long"), "marks"), 3).collect()
+    bits = lambda a, b: ((a ^ b) & 2**64 - 1).bit_count()
+    close = {(max(x, y), min(x, y)) for x, a in marks for y, b in marks if x != y and bits(a, b) <= 3}
+    edges = [(r["v"], r["u"]) for r in got]
+    assert len(edges) == len(set(edges)) and set(edges) <= close
+    assert roots(140, edges) == roots(140, list(close))
+
+
+def test_sketches_lose_no_pair_and_spare_large_groups(spark):
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[: rng.integers(5, 4000)], rng.integers(0, 900))) for _ in range(60)]
+    bits = [int.from_bytes(simhash.sketch(x)) for x in sets]
+    assert all((a ^ b).bit_count() <= len(np.setxor1d(x, y)) for a, x in zip(bits, sets) for b, y in zip(bits, sets))
+    # 200 sets of 100 that share 70 elements (0.54), and of these two that share 95 (0.9)
+    group = [np.unique(np.r_[pool[:70], rng.integers(0, 1 << 63, 30, dtype=np.uint64)]) for _ in range(200)]
+    group.append(np.unique(np.r_[group[0][:95], rng.integers(0, 1 << 63, 5, dtype=np.uint64)]))
+    rows = [(k, i, len(x), i, len(group), simhash.sketch(x)) for i, x in enumerate(group) for k in range(21)]
+    posts = spark.createDataFrame(rows, "key long, node long, size int, root long, n long, sketch binary")
+    got = {tuple(r) for r in simhash.candidates(posts, 0.8).collect()}
+    assert (0, 200) in got and len(got) < 20
