@@ -11,10 +11,17 @@ BLOOM_BITS, BLOOM_HASHES = 4096, 3
 
 def postings(df: DataFrame, column: str, row_id: str = "row_id", block_rows: int = 1 << 20) -> DataFrame:
     """``value``, ``block`` and ``rows`` (ascending row ids): a value's rows are cut into blocks of the table, so that the list of a very
-    common value is never one cell."""
+    common value is never one cell (:func:`whole_lists` puts them together)."""
     return df.groupBy(F.col(f"`{column}`").alias("value"), F.expr(f"{row_id} div {block_rows}").alias("block")).agg(F.array_sort(F.collect_list(row_id)).alias("rows"))
 
 
+def whole_lists(index: DataFrame) -> DataFrame:
+    """``value`` and ``rows``: one ascending list a value, its blocks put together. A list is one cell, of which Spark holds 2 GB (about 268
+    million rows); a longer one is an error."""
+    blocks = F.array_sort(F.collect_list(F.struct("block", "rows")))
+    return index.groupBy("value").agg(blocks.alias("blocks")).select("value", F.flatten(F.col("blocks.rows")).alias("rows"))
+
+
 def lookup(index: DataFrame, value) -> DataFrame:
     """The row ids of a value."""
     return index.filter(F.col("value").eqNullSafe(F.lit(value))).select(F.explode("rows").alias("row_id"))

@@ -1,14 +1,18 @@
 """Cases that once went wrong: nulls in encodings, keys of any type, logs of dead writers, odd text, literals of another width."""
 
+import os
 import random
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrydf.__main__ import main
+from oracle import TABLES, same
 from quarrydf.operators import advisor, encodings, index, lifecycle, tables
+from quarrydf.plans import catalog
 from quarrydf.sources import format as table_format
 from quarrydf.sources import interchange
 from test_operators import back, column
@@ -107,3 +111,20 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["read-column", path, "s"], spark) == 0 and capsys.readouterr().out == "s\nx\n"
     assert main(["stats", path], spark) == 0 and '"rows": 1' in capsys.readouterr().out
     assert main(["validate", path], spark) == 0 and main(["validate", path + "-absent"], spark) == 1
+
+
+def test_posting_lists_are_whole_beyond_one_block(spark, sf, tmp_path):
+    """One list a value, as the SQL has it, for more rows than a block of the index holds; keys in no order, null among the values."""
+    for t in set(TABLES) - {"events"}:
+        os.symlink(f"{sf}/{t}.parquet", tmp_path / f"{t}.parquet")
+    kind = "CASE i * 31 % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'é' ELSE 'view' END"
+    duckdb.sql(f"COPY (SELECT i * 7919 % 1048583 AS event_id, {kind} AS event_type FROM range(1048583) r(i)) TO '{tmp_path}/events.parquet'")
+    same(catalog.queries()["posting_index"](spark, str(tmp_path)), catalog.oracle_sql()["posting_index"], str(tmp_path))
+
+
+def test_posting_blocks_put_together(spark):
+    values = ["a", None, "b", "a", "a", None, "a", "b", "a", "a", None]
+    blocks = index.postings(column(spark, values, "string").repartition(3), "v", block_rows=2)
+    assert blocks.count() == 10
+    got = [(r["value"], r["rows"]) for r in index.whole_lists(blocks.repartition(4)).collect()]
+    assert sorted(got, key=repr) == sorted([(v, [i for i, x in enumerate(values) if x == v]) for v in ("a", "b", None)], key=repr)
